@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import op1_planes, op2_packing, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality
+from skyledger.llm import op1_planes, op2_packing, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality, op9_flac
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_planes.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language.query,
     "op7_simhash": op7_simhash.query,
     "op8_line_field": op8_quality.query,
+    "op9_flac": op9_flac.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -60,11 +60,11 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return F.coalesce(id_crc(column) % modulus == remainder, F.lit(False))
 
 
-def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no slice has many more bytes of ``text`` than ``limit``."""
+def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no slice has many more bytes of ``column`` than ``limit``."""
     if batch.num_rows == 0:
         return
-    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
