@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import op1_planes, op2_packing, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality, op9_flac
+from skyledger.llm import op1_planes, op2_packing, op3_pseudonyms, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality, op9_flac, op10_divergence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_planes.query,
     "op2_best_fit": op2_packing.query,
+    "op3_feistel_pseudonyms": op3_pseudonyms.query,
     "op4_sentencepiece": op4_sentencepiece.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_language": op6_language.query,
     "op7_simhash": op7_simhash.query,
     "op8_line_field": op8_quality.query,
     "op9_flac": op9_flac.query,
+    "op10_divergence": op10_divergence.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

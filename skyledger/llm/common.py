@@ -94,3 +94,18 @@ def map_texts(df: DataFrame, step: Callable[[], Callable[[pa.RecordBatch], pa.Re
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     """The texts of a slice; null counts as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The columns ``carry`` and ``text``, the text as a string."""
+    return docs.select(*[F.col(f"`{c}`") for c in carry if c != "text"], F.col("text").cast("string").alias("text"))
+
+
+def columns_of(slim: DataFrame, carry: tuple[str, ...]) -> str:
+    """The schema of ``carry`` as text."""
+    return ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in carry)
+
+
+def extended(batch: pa.RecordBatch, carry: tuple[str, ...], **new: pa.Array) -> pa.RecordBatch:
+    """The columns ``carry`` of a batch and new ones after them."""
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *new.values()], names=[*carry, *new])

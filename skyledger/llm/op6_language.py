@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import documents, held_out, map_texts, texts_of
+from skyledger.llm.common import carried, columns_of, documents, extended, held_out, map_texts, texts_of
 
 UNKNOWN = "und"
 ORDERS = 3
@@ -134,9 +134,10 @@ def fit(docs: DataFrame, keep, per_language: int = 1000, max_chars: int = 40_000
     return train(sample_languages(docs.select("doc_id", "text", "lang"), keep, per_language, max_chars))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of ``docs``, ``lang_pred`` and ``score`` of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = carried(docs, carry)
 
     def step():
         model = sent.value
@@ -144,12 +145,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = predict(model, grams, texts_of(batch))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            return extended(batch, carry, lang_pred=pa.array(langs, pa.string()), score=pa.array(scores, pa.float64()))
 
         return run
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_texts(slim, step, "doc_id long, lang_pred string, score double")
+    return map_texts(slim, step, f"{columns_of(slim, carry)}, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

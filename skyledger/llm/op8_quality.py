@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import documents, held_out, labels, map_texts, texts_of
+from skyledger.llm.common import carried, columns_of, documents, extended, held_out, labels, map_texts, texts_of
 from skyledger.llm.op5_toxicity import labelled_sample
 
 KINDS = ("lower", "upper", "digit", "space", "stop", "symbol", "bar", "other")
@@ -190,15 +190,11 @@ class Scorer:
         z = ((x - self.model.mean) / self.model.scale) @ self.model.weights
         return marginals(z, counts, self.model.pairs)[0], counts, size
 
-    def documents(self, texts: list[str]) -> np.ndarray:
-        p, counts, size = self.lines_of(texts)
-        at = np.cumsum(counts) - counts
-        return np.clip(np.add.reduceat(p * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
 
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score, n_lines, n_bad_lines`` of every whole text."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of ``docs``, and ``score, n_lines, n_bad_lines`` of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = carried(docs, carry)
 
     def step():
         scorer = Scorer(sent.value)
@@ -208,14 +204,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at = np.cumsum(counts) - counts
             scores = np.clip(np.add.reduceat(p * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
             bad = np.add.reduceat((p < 0.5).astype(np.int64), at)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(bad, pa.int64())], names=["doc_id", "score", "n_lines", "n_bad_lines"]
-            )
+            return extended(batch, carry, score=pa.array(scores, pa.float64()), n_lines=pa.array(counts, pa.int64()), n_bad_lines=pa.array(bad, pa.int64()))
 
         return run
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_texts(slim, step, "doc_id long, score double, n_lines long, n_bad_lines long")
+    return map_texts(slim, step, f"{columns_of(slim, carry)}, score double, n_lines long, n_bad_lines long")
 
 
 def fit(docs: DataFrame, marks: DataFrame, keep, max_docs: int = 4000, max_chars: int = 40_000) -> Model:
