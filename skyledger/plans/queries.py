@@ -56,7 +56,8 @@ def _monthly(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("arr_delay_min").alias("y"), F.avg("dep_delay_min").alias("x"), F.count(F.lit(1)).cast("double").alias("w"),
         F.avg((F.col("dep_hour") >= 12).cast("double")).alias("z1"), F.avg("sched_block_min").alias("z2"), F.avg((F.col("cause_code") == "AR").cast("double")).alias("z3"),
     )
-    return out.withColumns({"t": C.month_index("ym"), "z3": F.coalesce("z3", F.lit(0.0))})
+    # the estimators pass over it several times
+    return S.materialised(out.withColumns({"t": C.month_index("ym"), "z3": F.coalesce("z3", F.lit(0.0))}), "monthly")
 
 
 @query
@@ -70,16 +71,13 @@ def stage_legs(spark, sf):
 @query
 def raw_layout_staging(spark, sf):
     """Legs spelled as files of the older layout, written, and staged from them."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/spark-skyledger")
     stamp = lambda c: F.coalesce(F.date_format(c, "dd/MM/yyyy HH:mm"), F.lit(""))
     text = L.legs(spark, sf).select(
         "airline", F.format_string("%04d", "flight_number").alias("number"), F.col("di").cast("string").alias("di"), "line_type", "origin_icao", "dest_icao",
         *[stamp(c).alias(c) for c in ("sched_dep", "actual_dep", "sched_arr", "actual_arr")],
         F.when(F.col("is_realized"), "Realizado").otherwise(" CANCELADO ").alias("status"), F.coalesce("cause_code", F.lit("N/A")).alias("cause"),
     )
-    path = f"{root.rstrip('/')}/skyledger-raw-{uuid.uuid4().hex}"
+    path = S.scratch_path(spark, "raw")
     text.write.option("header", True).option("encoding", "ISO-8859-1").option("quote", "").option("emptyValue", "").csv(path)
     staged = S.stage_legs(spark, {S.LEGACY: [path]}, L.METRO, L.groups(spark))
     return rounded(staged.groupBy("year", "group", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("dep_delay_min").alias("minutes"), F.count("cause_code").alias("n_coded"), F.count_if("universe_repl").alias("n_repl")).withColumn("year", F.col("year").cast("int")))
@@ -443,7 +441,7 @@ CATEGORICAL = ["group", "route_kind"]
 
 
 def _gbt(spark: SparkSession, sf: str):
-    rows = _features(spark, sf).where("late15_arr is not null").select("leg_id", "year", "late15_arr", *NUMERIC, *CATEGORICAL)
+    rows = S.materialised(_features(spark, sf).where("late15_arr is not null").select("leg_id", "year", "late15_arr", *NUMERIC, *CATEGORICAL), "features")
     fold = E.rolling_origin((1998,), 1992)[0]
     model = E.fit(fold.part(rows, "train"), fold.part(rows, "valid"), "late15_arr", NUMERIC, CATEGORICAL, maxIter=5, maxDepth=3)
     return model, fold.part(rows, "test"), fold

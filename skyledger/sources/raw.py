@@ -3,6 +3,8 @@ by position, and typed afterwards; what cannot be read becomes null."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +122,20 @@ def read_staged(spark: SparkSession, path: str, years: tuple[int, ...] | None =
     return out.where(F.col("year").isin(*years)) if years else out
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names; a local one only where that
+    is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-skyledger-")
+    return f"{root.rstrip('/')}/skyledger-{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch table and read from it, for what is read many times."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_csv_gz(df: DataFrame, path: str, keys: list[str], digits: int = 6) -> None:
     floats = {f.name: F.bround(F.col(f.name).cast("double"), digits) for f in df.schema if f.dataType.simpleString() in ("double", "float")}
     df.withColumns(floats).orderBy(*keys).write.option("compression", "gzip").option("header", True).mode("overwrite").csv(path)
