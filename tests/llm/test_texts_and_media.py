@@ -169,3 +169,16 @@ def _both(js, text, words, short, ref):
     q = list(ref["words"].values())
     w = js([*p, 1 - sum(p)], [*q, 1 - sum(q)])
     return c + w, c, w
+
+
+def test_rules_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    twin = con.sql(op10_divergence.ORACLE)
+    rows = op10_divergence.query(spark, sf)
+    names = sorted(rows.columns)
+    assert names == sorted(twin.columns)
+    assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == sorted(tuple(r[twin.columns.index(c)] for c in names) for r in twin.fetchall())
