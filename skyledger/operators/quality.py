@@ -28,11 +28,11 @@ def assert_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
 
 
 def profile(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, distinct keys, and each column's nulls: one row a column, from one aggregate."""
-    whole = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)])
-    distinct = df.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_keys"))
+    """Rows, distinct keys (none of them null), and each column's nulls: one row a column, from one aggregate."""
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)]
+    whole = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*keys).alias("n_keys"), *nulls)
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("n_null")) for i, c in enumerate(df.columns)])
-    return whole.crossJoin(F.broadcast(distinct)).select("n_rows", "n_keys", F.explode(entries).alias("e")).select("e.column", "n_rows", "n_keys", "e.n_null")
+    return whole.select("n_rows", "n_keys", F.explode(entries).alias("e")).select("e.column", "n_rows", "n_keys", "e.n_null")
 
 
 def schema_problems(df: DataFrame, wanted: StructType) -> list[str]:
