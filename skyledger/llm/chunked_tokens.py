@@ -62,7 +62,7 @@ class ChunkEncoder:
     tokens are ordinary text. ``keep`` bounds the pre-tokens remembered.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, kind: str, keep: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,12 +93,19 @@ class ChunkEncoder:
         self.mark = model.encode(MARK).ids[0]
         return model
 
+    def _group(self, tokens: list[str]) -> str:
+        """Pre-tokens in the vocabulary's characters, a mark after each."""
+        plain = f"\n{MARK}\n".join(tokens)
+        if plain.isascii() and plain.replace("\n", "").isprintable() and plain.count("\n") == 2 * len(tokens) - 2:
+            return f"{plain}\n{MARK}".replace(" ", self.spelling[32])
+        # no byte of UTF-8 is 255
+        data = b"\xff".join([t.encode() for t in tokens]) + b"\xff"
+        return data.decode("latin-1").translate(self.spelling)
+
     def _merged(self, tokens: list[str]) -> list[bytes]:
         """The ids of pre-tokens, none of which has the mark."""
-        # no byte of UTF-8 is 255
-        groups = [b"\xff".join([t.encode() for t in tokens[k : k + 512]]) + b"\xff" for k in range(0, len(tokens), 512)]
         out: list[bytes] = []
-        for found in self.merger.encode_batch_fast([g.decode("latin-1").translate(self.spelling) for g in groups], add_special_tokens=False):
+        for found in self.merger.encode_batch_fast([self._group(tokens[k : k + 512]) for k in range(0, len(tokens), 512)], add_special_tokens=False):
             ids = np.array(found.ids, dtype="<u4")
             ends, data = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
             out += [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
@@ -127,7 +134,7 @@ class ChunkEncoder:
         parts = [self.pre_tokens(t) for t in texts]
         known = self.known
         new = known.lacking(set(chain.from_iterable(parts)))
-        plain = [t for t in new if isinstance(t, str) and MARK not in t]
+        plain = sorted((t for t in new if isinstance(t, str) and MARK not in t), key=str.isascii)
         known.update(zip(plain, self._merged(plain), strict=True))
         others = list(new.difference(plain))
         known.update(zip(others, self.whole([t if isinstance(t, str) else t.decode() for t in others]), strict=True))
