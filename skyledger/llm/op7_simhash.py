@@ -241,7 +241,8 @@ def link_fingerprints(marked: DataFrame, budget: int = 4, unit_rows: int = 4096)
     least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = grouped.join(least, "root").select("fp", "least_id")
     named = classes.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return marked.join(named, "fp")
+    # a table of its own, so that the last join stands alone and Spark can split a fingerprint that many documents have
+    return marked.join(stash(named, "named"), "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
