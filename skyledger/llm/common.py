@@ -74,7 +74,7 @@ def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "
     yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Run ``step()``, made once a task, on bounded slices of each Arrow batch.
 
     ``df`` must have a string column ``text``; ``step()`` returns a function from a slice to
@@ -85,7 +85,7 @@ def map_texts(df: DataFrame, step: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = step()
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

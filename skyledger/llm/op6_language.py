@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import carried, columns_of, documents, extended, held_out, map_texts, texts_of
 
 UNKNOWN = "und"
+#: Languages up to which their shares are broadcast, and bytes of text scored at once (an n-gram takes a row of the matrix).
+MOST_SENT, SCORE_BYTES = 10_000, 1 << 20
 ORDERS = 3
 
 
@@ -124,9 +126,12 @@ def sample_languages(docs: DataFrame, keep, per_language: int, max_chars: int) -
     """About ``per_language`` whole texts of each language among rows that ``keep`` allows."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep)
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = sizes.select("lang", (F.lit(per_language) / F.col("n")).alias("share"))
-    drawn = usable.join(shares, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) & (F.length("text") <= max_chars))
+    shares = sizes.select("lang", (F.lit(per_language) / F.col("n")).alias("share")).persist()
+    # a row for each language: sent to all tasks if there are as few as there should be, else joined by a shuffle
+    few = shares.count() <= MOST_SENT
+    drawn = usable.join(F.broadcast(shares) if few else shares, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) & (F.length("text") <= max_chars))
     rows = drawn.groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x")).orderBy("doc_id").select("x.lang", "x.text").collect()
+    shares.unpersist()
     return [(r["lang"], r["text"]) for r in rows]
 
 
@@ -149,7 +154,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
 
         return run
 
-    return map_texts(slim, step, f"{columns_of(slim, carry)}, lang_pred string, score double")
+    return map_texts(slim, step, f"{columns_of(slim, carry)}, lang_pred string, score double", SCORE_BYTES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
