@@ -208,10 +208,10 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
 
         return run
 
-    return map_texts(slim, step, f"{columns_of(slim, carry)}, score double, n_lines long, n_bad_lines long")
+    return map_texts(slim, step, f"{columns_of(slim, carry)}, score double, n_lines long, n_bad_lines long", 2 << 20)
 
 
-def fit(docs: DataFrame, marks: DataFrame, keep, max_docs: int = 4000, max_chars: int = 40_000) -> Model:
+def fit(docs: DataFrame, marks: DataFrame, keep, max_docs: int = 2000, max_chars: int = 40_000) -> Model:
     return train(labelled_sample(docs, marks, "quality", keep, max_docs, max_chars))
 
 
