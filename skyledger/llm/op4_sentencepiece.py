@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.llm.chunked_tokens import Recent
 from skyledger.llm.common import documents, map_texts, texts_of
 
 MARK = "▁"
@@ -44,8 +45,7 @@ class Merges:
 
         self.library = sp = SentencePieceProcessor(model_file=path)
         self.end = sp.eos_id()
-        self.keep = keep
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known = Recent(keep)  # chunk: its ids as text and as numbers
         self.id_of, self.score, self.bytes_of = {}, np.zeros(len(sp), dtype=np.float64), {}
         for i in range(len(sp)):
             piece = sp.id_to_piece(i)
@@ -54,6 +54,7 @@ class Merges:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id_of[piece], self.score[i] = i, sp.get_score(i)
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.id_of)
+        self.line_end = MARK + "\n" if not any("\n" in p for p in self.id_of) else "\n"
         pairs = [
             (self.id_of[p[:k]] << 32 | self.id_of[p[k:]], i) for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of
         ]
@@ -181,42 +182,54 @@ class Merges:
         return out
 
     def cut(self, text: str) -> list[str]:
-        """Chunks as they are spelled with the space mark; the first has the mark put before it."""
+        """Chunks as they are spelled with the space mark; the first has the mark put before it.
+
+        If no piece holds a line end, nothing merges with one, and a chunk ends there too: each
+        line end gets a mark of its own for the cut, which is no part of the chunk after it.
+        """
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
         if not self.splits_at_marks:
             return [marked]
-        parts = marked.split(MARK)[1:]
+        parts = marked.replace("\n", self.line_end).split(MARK)[1:]
+        if self.line_end == "\n":
+            bare = lambda p: False
+        else:
+            bare = lambda p: p[0] == "\n"
         if "" not in parts:
-            return [MARK + p for p in parts]
+            return [p if bare(p) else MARK + p for p in parts]
         out, marks = [], MARK
         for p in parts[:-1]:
-            if p:
-                out.append(marks + p)
-                marks = MARK
-            else:
+            if not p:
                 marks += MARK
-        out.append(marks + parts[-1])
+                continue
+            if bare(p):
+                out += [marks[1:], p] if len(marks) > 1 else [p]
+            else:
+                out.append(marks + p)
+            marks = MARK
+        p = parts[-1]
+        if p and bare(p):
+            out += [marks[1:], p] if len(marks) > 1 else [p]
+        else:
+            out.append(marks + p)
         return out
 
     def learn(self, chunks: set[str]) -> int:
         """Merge chunks that aren't known yet and compare them with the library's; the number that differ."""
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > self.keep:
-            self.known.clear()
-            missing = list(chunks)
-        missing.sort(key=len)
+        missing = sorted(self.known.lacking(chunks), key=len)
         short = [c for c in missing if len(c) <= ROW_CHARS]
         mine: list[tuple[int, ...]] = []
         for k in range(0, len(short), 4096):
             mine += self.merge_rows(short[k : k + 4096])
         mine += [self.merge_heap(c) for c in missing[len(short) :]]
-        # the library puts the first mark itself
-        theirs = self.library.encode([c[1:].replace(MARK, " ") for c in missing], num_threads=1)
+        # the library puts the first mark itself: to a chunk that has one in place of it, to one that begins a line as a piece of its own
+        theirs = self.library.encode([(c[1:] if c[0] == MARK else c).replace(MARK, " ") for c in missing], num_threads=1)
         bad = 0
         for chunk, own, ids in zip(missing, mine, theirs, strict=True):
-            if own != (right := tuple(ids)) and len(chunk) > 1:
+            right = tuple(ids if chunk[0] == MARK else ids[1:])
+            if own != right and len(chunk) > 1:
                 own, bad = right, bad + 1
             self.known[chunk] = (" ".join(map(str, own)), own)
         return bad
