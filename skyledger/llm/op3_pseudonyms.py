@@ -7,7 +7,9 @@ outside, and the result is written in the same format. The permutation hangs on
 kind alone, so equal values get equal pseudonyms in all documents and different ones stay
 different; whoever has the key can go back (``permute(..., back=True)``).
 
-Kinds: card numbers (13 to 19 digits, Luhn; the check digit is made anew), IBANs (mod 97, made
+Kinds: card numbers (13 to 19 digits, Luhn; the check digit is made anew; one unbroken run or a
+grouping of cards goes before the longest run of groups, so an expiry date or a security code
+beside a card is no part of it), IBANs (mod 97, made
 anew), North American phone numbers, US social security numbers, IPv4 addresses, ISO, slashed and
 dotted dates from 1900 to 2099, e-mail addresses (the local part; letters stay letters and digits
 digits), and keys, tokens or passwords of 16 or more hexadecimal digits.
@@ -33,13 +35,16 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 ANY = re.compile("[0-9@]")
 NUMBER = re.compile(
     r"(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<iso>\d{4}-\d{2}-\d{2}(?![\w-]))"
+    r"|(?P<iso>\d{4}-\d{2}-\d{2}(?:(?=T\d\d)|(?![\w-])))"
     r"|(?P<day>\d{2}([/.])\d{2}\4\d{4}(?![\w/]))"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<phone>(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<card>\d(?:[ -]?\d){12,18}(?!\w))"
 )
 BEFORE = re.compile(r"[\w.]")
+GROUP = re.compile(r"[ -](\d{1,20})")
+#: How the digits of cards are grouped, if they do not stand in one run.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -204,6 +209,36 @@ class Finder:
     def _secret(self, s: str) -> str:
         return hexed(s, self.key, "secret")
 
+    def card_span(self, text: str, a: int, b: int) -> tuple[int, int] | None:
+        """Where in or from the match ``a, b`` a valid card stands: in one run or in the groups of
+        cards, from any group of the match on; else the match, or its longest part from ``a`` that
+        ends with a group."""
+        first = a
+        while first < len(text) and first < a + 20 and text[first].isdigit():
+            first += 1
+        groups = [(a, first)]
+        while groups[-1][1] < b + 20 and (m := GROUP.match(text, groups[-1][1])):
+            groups.append(m.span(1))
+
+        def valid(lo: int, hi: int) -> bool:
+            after = text[hi : hi + 2]
+            if after[:1].isalnum() or after[:1] == "_" or (after[:1] == "." and after[1:].isdigit()):
+                return False
+            return self.pseudonym("card", text[lo:hi]) is not None
+
+        for i, (lo, _) in enumerate(groups):
+            if lo >= b:
+                break
+            sizes: tuple[int, ...] = ()
+            for start, hi in groups[i : i + 4]:
+                sizes += (hi - start,)
+                if (sizes in CARD_GROUPS or (len(sizes) == 1 and 13 <= sizes[0] <= 19)) and valid(lo, hi):
+                    return lo, hi
+        for hi in [b, *[end for _, end in reversed(groups) if end < b]]:
+            if sum(c.isdigit() for c in text[a:hi]) >= 13 and valid(a, hi):
+                return a, hi
+        return None
+
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The new text and the finds ``(start, end, kind)``; of finds that overlap the first stands."""
         if not ANY.search(text):
@@ -221,7 +256,11 @@ class Finder:
         while m := NUMBER.search(text, pos):
             a, b = m.span()
             # no part of a longer word or number
-            if a and BEFORE.match(text[a - 1]) or (m.lastgroup != "ip" and text[b : b + 1] == "." and text[b + 1 : b + 2].isdigit()):
+            if m.lastgroup == "card" and not (a and BEFORE.match(text[a - 1])) and (span := self.card_span(text, a, b)):
+                spans.append((*span, "card"))
+                pos = span[1]
+                continue
+            if a and BEFORE.match(text[a - 1]) or m.lastgroup == "card" or (m.lastgroup != "ip" and text[b : b + 1] == "." and text[b + 1 : b + 2].isdigit()):
                 pos = a + 1
                 while pos < len(text) and text[pos].isdigit():
                     pos += 1
