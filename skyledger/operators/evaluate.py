@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -138,6 +139,10 @@ def gain_importance(model, numeric: list[str], categorical: list[str]) -> list[t
     return sorted(total.items(), key=lambda x: -x[1])
 
 
+#: Rows that ``permutation_importance`` permutes among each other.
+GROUP_ROWS = 1024
+
+
 def permuted(df: DataFrame, column: str, seed: int, block: int = 4096) -> DataFrame:
     """``df`` with one column dealt anew. Rows are hashed into groups and two orders within each
     group are joined, so that no task sorts the whole table."""
@@ -148,15 +153,33 @@ def permuted(df: DataFrame, column: str, seed: int, block: int = 4096) -> DataFr
     return left.join(right, ["_g", "_i"]).drop("_g", "_i")
 
 
-def permutation_importance(model, test: DataFrame, label: str, numeric: list[str], categorical: list[str], columns: list[str], repeats: int = 1, block: int = 16) -> DataFrame:
-    """The fall of the area under the curve as each column is permuted; one row a column."""
+def permutation_importance(model, test: DataFrame, label: str, numeric: list[str], categorical: list[str], columns: list[str], repeats: int = 3, block: int | None = None) -> DataFrame:
+    """The fall of the area under the curve as each column is permuted, its mean and deviation over
+    the repeats; one row a column. ``block`` groups are permuted, by default of about ``GROUP_ROWS`` rows each."""
     spark = test.sparkSession
-    base = binary_metrics(predict(model, test, label, numeric), label, "p").first()["auc"]
+    area = lambda df: binary_metrics(predict(model, df, label, numeric), label, "p").first()["auc"] or 0.0
+    block = block or max(1, round(test.count() / GROUP_ROWS))
+    base = area(test)
     out = []
     for c in columns:
-        drops = [base - binary_metrics(predict(model, permuted(test, c, 100 * r, block), label, numeric), label, "p").first()["auc"] for r in range(repeats)]
-        out.append((c, float(sum(drops) / len(drops))))
-    return spark.createDataFrame(out, "feature string, auc_drop double")
+        drops = [base - area(permuted(test, c, 100 * r, block)) for r in range(repeats)]
+        mean = sum(drops) / repeats
+        out.append((c, float(mean), math.sqrt(sum((d - mean) ** 2 for d in drops) / repeats)))
+    return spark.createDataFrame(out, "feature string, auc_drop double, auc_drop_sd double")
+
+
+def rolling_metrics(rows: DataFrame, folds: list[Fold], targets: list[str], horizons: dict[str, list[str]], categorical: list[str], **params) -> DataFrame:
+    """Metrics on the test years of a model for each fold, target and horizon (a list of features,
+    ``categorical`` among them); one row each."""
+    out: list[tuple] = []
+    for fold in folds:
+        for target in targets:
+            for horizon, features in horizons.items():
+                numeric = [c for c in features if c not in categorical]
+                model = fit(fold.part(rows, "train"), fold.part(rows, "valid"), target, numeric, categorical, **params)
+                found = binary_metrics(predict(model, fold.part(rows, "test"), target, numeric), target, "p").collect()
+                out += [(fold.name, target, horizon, *r) for r in found]
+    return rows.sparkSession.createDataFrame(out, "fold string, target string, horizon string, n long, base_rate double, auc double, pr_auc double, brier double")
 
 
 def fold_summary(results: DataFrame) -> DataFrame:
