@@ -116,6 +116,28 @@ def lagged_moments(df: DataFrame, unit: str, time: str, moments: list[str], band
     return out
 
 
+def without_effects(rows: DataFrame, columns: list[str], effects: list[str] | None) -> tuple[DataFrame, int]:
+    """``rows`` with ``columns`` less their least-squares fit on a constant and a dummy for each value
+    of each of ``effects``, and how many independent columns that took beside the constant. Least
+    squares, two-step GMM and LIML give the same coefficients then as with all dummies in the design."""
+    if not effects:
+        return rows, 0
+    rows = rows.dropna()
+    mom = Moments(cross_products(rows, columns, effects))
+    design = ["1", *[n for n in dict.fromkeys(b for _, b in mom.sums) if n != "1" and n not in columns]]
+    kept = independent(mom.block(design, design), design, 1)
+    coef = dict(zip(kept, np.linalg.solve(mom.block(kept, kept), mom.block(kept, columns)), strict=True))
+    fitted = {c: F.lit(float(coef["1"][i])) for i, c in enumerate(columns)}
+    for k, e in enumerate(effects):
+        values = [r[0] for r in rows.select(e).distinct().collect()]
+        schema = f"`{e}` {rows.schema[e].dataType.simpleString()}, " + ", ".join(f"_e{k}_{i} double" for i in range(len(columns)))
+        table = [(v, *[float(x) for x in coef.get(f"{e}={v}", np.zeros(len(columns)))]) for v in values]
+        rows = rows.join(rows.sparkSession.createDataFrame(table, schema), e)
+        fitted = {c: f + F.col(f"_e{k}_{i}") for i, (c, f) in enumerate(fitted.items())}
+    left = rows.withColumns({c: F.col(c) - f for c, f in fitted.items()})
+    return left.drop(*[f"_e{k}_{i}" for k in range(len(effects)) for i in range(len(columns))]), len(kept) - 1
+
+
 def _with_residual(df: DataFrame, y: str, names: list[str], beta: np.ndarray, z: list[str]) -> tuple[DataFrame, list[str]]:
     """Residual ``u`` and its moments with the columns ``z``."""
     fitted = sum((F.lit(float(b)) * (F.lit(1.0) if n == "1" else F.col(n)) for n, b in zip(names, beta, strict=True)), F.lit(0.0))
@@ -124,9 +146,11 @@ def _with_residual(df: DataFrame, y: str, names: list[str], beta: np.ndarray, z:
     return rows.withColumns(m), list(m)
 
 
-def ols(df: DataFrame, y: str, x: list[str], unit: str = "od", time: str = "t", bandwidth: int = BANDWIDTH, by_unit: bool = True) -> dict:
-    """Least squares with a constant and Bartlett HAC errors, corrected for degrees of freedom."""
-    rows = df.select(unit, time, y, *x).dropna()
+def ols(df: DataFrame, y: str, x: list[str], unit: str = "od", time: str = "t", bandwidth: int = BANDWIDTH, by_unit: bool = True, effects: list[str] | None = None) -> dict:
+    """Least squares with a constant and Bartlett HAC errors, corrected for degrees of freedom.
+    With ``effects`` the constant is one of them, and the fit's measures are those within them."""
+    rows = df.select(*dict.fromkeys([unit, time, y, *x, *(effects or [])])).dropna()
+    rows, absorbed = without_effects(rows, [y, *x], effects)
     mom = Moments(cross_products(rows, [y, *x]))
     names = independent(mom.block(["1", *x], ["1", *x]), ["1", *x], 1 + len(x))
     gram = mom.block(names, names)
@@ -134,17 +158,19 @@ def ols(df: DataFrame, y: str, x: list[str], unit: str = "od", time: str = "t",
     marked, m = _with_residual(rows, y, names, beta, names)
     s = lagged_moments(marked, unit, time, m, bandwidth, by_unit)
     inv = np.linalg.inv(gram)
-    n, k = mom.n, len(names)
+    n, k = mom.n, len(names) + absorbed
     cov = inv @ s @ inv * n / (n - k)
     yy, ym = mom.sums[y, y], mom.sums["1", y]
     rss = yy - 2 * beta @ mom.block(names, [y])[:, 0] + beta @ gram @ beta
     tss = yy - ym * ym / n
-    return {"names": names, "b": beta, "se": np.sqrt(np.diag(cov)), "n": int(n), "k": k, "rss": float(rss), "adj_r2": float(1 - rss / tss * (n - 1) / (n - k)), "rmse": math.sqrt(max(rss, 0) / (n - k))}
+    own = slice(1 if effects else 0, None)
+    return {"names": names[own], "b": beta[own], "se": np.sqrt(np.diag(cov))[own], "n": int(n), "k": k, "rss": float(rss), "adj_r2": float(1 - rss / tss * (n - 1) / (n - k)), "rmse": math.sqrt(max(rss, 0) / (n - k))}
 
 
-def gmm(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str], unit: str = "od", time: str = "t", bandwidth: int = BANDWIDTH, by_unit: bool = True) -> dict:
-    """Two-step GMM with a Bartlett weight, and Hansen's J."""
-    rows = df.select(unit, time, y, *exog, *endog, *instruments).dropna()
+def gmm(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str], unit: str = "od", time: str = "t", bandwidth: int = BANDWIDTH, by_unit: bool = True, effects: list[str] | None = None) -> dict:
+    """Two-step GMM with a Bartlett weight, and Hansen's J. With ``effects`` the constant is one of them."""
+    rows = df.select(*dict.fromkeys([unit, time, y, *exog, *endog, *instruments, *(effects or [])])).dropna()
+    rows, absorbed = without_effects(rows, [y, *exog, *endog, *instruments], effects)
     x, z = ["1", *exog, *endog], ["1", *exog, *instruments]
     mom = Moments(cross_products(rows, [y, *exog, *endog, *instruments]))
     n = mom.n
@@ -158,16 +184,18 @@ def gmm(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: l
     marked, m = _with_residual(rows, y, x, beta, z)
     s2 = lagged_moments(marked, unit, time, m, bandwidth, by_unit) / n
     bread = np.linalg.inv(zx.T @ w @ zx / n / n)
-    cov = bread @ (zx.T / n @ w @ s2 @ w @ zx / n) @ bread / n * n / (n - len(x))
+    cov = bread @ (zx.T / n @ w @ s2 @ w @ zx / n) @ bread / n * n / (n - len(x) - absorbed)
     g = (zy - zx @ beta) / n
     df_j = len(instruments) - len(endog)
     j = float(n * g @ w @ g)
-    return {"names": x, "b": beta, "se": np.sqrt(np.diag(cov)), "n": int(n), "k": len(x), "j": j, "j_df": df_j, "j_p": chi2_tail(j, df_j)}
+    own = slice(1 if effects else 0, None)
+    return {"names": x[own], "b": beta[own], "se": np.sqrt(np.diag(cov))[own], "n": int(n), "k": len(x) + absorbed, "j": j, "j_df": df_j, "j_p": chi2_tail(j, df_j)}
 
 
-def liml(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str]) -> dict:
+def liml(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments: list[str], effects: list[str] | None = None) -> dict:
     """Limited-information maximum likelihood: the k-class estimate at the least root."""
-    rows = df.select(y, *exog, *endog, *instruments).dropna()
+    rows = df.select(*dict.fromkeys([y, *exog, *endog, *instruments, *(effects or [])])).dropna()
+    rows, _ = without_effects(rows, [y, *exog, *endog, *instruments], effects)
     mom = Moments(cross_products(rows, [y, *exog, *endog, *instruments]))
     inc, z, x = ["1", *exog], ["1", *exog, *instruments], ["1", *exog, *endog]
     w = [y, *endog]
@@ -177,20 +205,22 @@ def liml(df: DataFrame, y: str, exog: list[str], endog: list[str], instruments:
     proj = lambda r, c: mom.block(r, z) @ np.linalg.solve(mom.block(z, z), mom.block(z, c))
     left = (1 - k) * mom.block(x, x) + k * proj(x, x)
     beta = np.linalg.solve(left, (1 - k) * mom.block(x, [y])[:, 0] + k * proj(x, [y])[:, 0])
-    return {"names": x, "b": beta, "kappa": k, "n": int(mom.n)}
+    own = slice(1 if effects else 0, None)
+    return {"names": x[own], "b": beta[own], "kappa": k, "n": int(mom.n)}
 
 
-def rank_tests(df: DataFrame, exog: list[str], endog: list[str], instruments: list[str], unit: str = "od", time: str = "t", bandwidth: int = 0) -> dict:
+def rank_tests(df: DataFrame, exog: list[str], endog: list[str], instruments: list[str], unit: str = "od", time: str = "t", bandwidth: int = 0, effects: list[str] | None = None) -> dict:
     """Cragg-Donald Wald and Anderson LM from canonical correlations of what is left of endogenous
     variables and instruments after the included ones, and for one endogenous variable the
     Kleibergen-Paap Wald statistic with a Bartlett weight."""
-    rows = df.select(unit, time, *exog, *endog, *instruments).dropna()
+    rows = df.select(*dict.fromkeys([unit, time, *exog, *endog, *instruments, *(effects or [])])).dropna()
+    rows, absorbed = without_effects(rows, [*exog, *endog, *instruments], effects)
     mom = Moments(cross_products(rows, [*exog, *endog, *instruments]))
     inc, n = ["1", *exog], mom.n
     rest = lambda a, b: mom.block(a, b) - mom.block(a, inc) @ np.linalg.solve(mom.block(inc, inc), mom.block(inc, b))
     yy, yz, zz = rest(endog, endog), rest(endog, instruments), rest(instruments, instruments)
     roots = np.sort(np.linalg.eigvals(np.linalg.solve(yy, yz @ np.linalg.solve(zz, yz.T))).real)
-    least, k = float(roots[0]), len(inc) + len(instruments)
+    least, k = float(roots[0]), len(inc) + len(instruments) + absorbed
     out = {"n": int(n), "anderson_lm": n * least, "cragg_donald_f": least / (1 - least) * (n - k) / len(instruments), "df": len(instruments) - len(endog) + 1}
     if len(endog) == 1:
         names = [*inc, *instruments]

@@ -410,6 +410,18 @@ def _coefficients(spark: SparkSession, fit: dict) -> DataFrame:
     return spark.createDataFrame([(n, float(b), None if s is None else float(s)) for n, b, s in zip(fit["names"], fit["b"], se, strict=True)], "name string, b double, se double")
 
 
+#: Regions of the given nodes, invented as the distances are.
+REGIONS = {"a": ("M1", "N05"), "b": ("M2", "N06"), "c": ("N07", "N08")}
+#: Routes, months, and for each region the month of the year on routes that it is an end of.
+EFFECTS = ["od", "t", *[f"season_{r}" for r in REGIONS]]
+
+
+def _with_effects(spark: SparkSession, sf: str) -> DataFrame:
+    ends = F.split("od", "-")
+    touches = lambda nodes: ends[0].isin(*nodes) | ends[1].isin(*nodes)
+    return _monthly(spark, sf).withColumns({f"season_{r}": F.when(touches(nodes), (F.col("ym") % 100).cast("int")).otherwise(0) for r, nodes in REGIONS.items()})
+
+
 @query
 def ols_panel(spark, sf):
     return rounded(_coefficients(spark, R.ols(_monthly(spark, sf), "y", ["x"])).select("name", "b"))
@@ -420,19 +432,31 @@ def iv_just_identified(spark, sf):
     return rounded(_coefficients(spark, R.gmm(_monthly(spark, sf), "y", [], ["x"], ["z1"])).select("name", "b"))
 
 
+@query
+def ols_effects(spark, sf):
+    """``ols_panel`` with route, month and season effects; that one is pooled, as its SQL twin is."""
+    return rounded(_coefficients(spark, R.ols(_with_effects(spark, sf), "y", ["x"], effects=EFFECTS)))
+
+
+@query
+def iv_effects(spark, sf):
+    """``iv_just_identified`` with route, month and season effects."""
+    return rounded(_coefficients(spark, R.gmm(_with_effects(spark, sf), "y", [], ["x"], ["z1"], effects=EFFECTS)))
+
+
 @query
 def gmm_panel(spark, sf):
-    return _coefficients(spark, R.gmm(_monthly(spark, sf), "y", ["w"], ["x"], ["z1", "z2", "z3"]))
+    return _coefficients(spark, R.gmm(_with_effects(spark, sf), "y", ["w"], ["x"], ["z1", "z2", "z3"], effects=EFFECTS))
 
 
 @query
 def liml_panel(spark, sf):
-    return _coefficients(spark, R.liml(_monthly(spark, sf), "y", ["w"], ["x"], ["z1", "z2", "z3"])).select("name", "b")
+    return _coefficients(spark, R.liml(_with_effects(spark, sf), "y", ["w"], ["x"], ["z1", "z2", "z3"], effects=EFFECTS)).select("name", "b")
 
 
 @query
 def rank_tests(spark, sf):
-    found = R.rank_tests(_monthly(spark, sf), ["w"], ["x"], ["z1", "z2", "z3"], bandwidth=4)
+    found = R.rank_tests(_with_effects(spark, sf), ["w"], ["x"], ["z1", "z2", "z3"], bandwidth=4, effects=EFFECTS)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "statistic string, value double")
 
 
