@@ -139,6 +139,18 @@ def test_rules_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["kept"] for r in op10_divergence.judge(op10_divergence.counted(docs.where("doc_id <> 5")), {}).collect()} == {False}
 
 
+def test_windows_beyond_the_low_bits(spark, monkeypatch):
+    texts = ["a b c a b c a b", "a b c", "a b", "", "the cat sat on the mat and the cat sat on the hat " * 40, " ".join(map(str, range(300)))]
+    rows = spark.createDataFrame([(k, t, t.split()) for k, t in enumerate(texts)], "doc_id int, text string, words array<string>").selectExpr("*", "size(words) AS n_words")
+    few = {r["doc_id"]: r["places"] for r in op10_divergence.with_places(rows).collect()}
+    monkeypatch.setattr(op10_divergence, "PLACE_BITS", 1)
+    many = {r["doc_id"]: r["places"] for r in op10_divergence.with_places(rows).collect()}
+    for k, text in enumerate(texts):
+        w = text.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert few[k] == many[k] == [i for i, x in enumerate(windows) if windows.count(x) > 1]
+
+
 def test_divergence_is_that_of_its_definition(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -154,7 +166,7 @@ def test_divergence_is_that_of_its_definition(spark):
 
     for r in docs.limit(25).collect():
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"]) if w]
-        short = Counter(w.lower() for w in words if len(w) <= 5)
+        short = Counter(w.lower() for w in words)
         best = min(_both(js, r["text"], words, short, ref) for ref in refs.values())
         assert (rows[r["doc_id"]]["class_distance"], rows[r["doc_id"]]["word_distance"]) == pytest.approx(best[1:], abs=1e-6)
 
