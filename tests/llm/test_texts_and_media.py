@@ -127,7 +127,7 @@ def test_rules_of_odd_rows(spark, odd_docs, no_docs):
     extra = spark.createDataFrame([(20, "a b c a b c a b\na b\na b\n\x0b\n\n x|y", "en"), (21, "one\x85two three 🎉🎉", "en")], "doc_id long, text string, lang string")
     docs = odd_docs.select("doc_id", "text", "lang").unionByName(extra)
     table = op10_divergence.counted(docs)
-    rows = op10_divergence.judge(table, op10_divergence.references(table)).collect()
+    rows = op10_divergence.judge(table, op10_divergence.references(docs)).collect()
     given_ = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert len(rows) == 11
     for r in rows:
@@ -135,7 +135,7 @@ def test_rules_of_odd_rows(spark, odd_docs, no_docs):
         assert got == brute_counts(given_[r["doc_id"]]), r["doc_id"]
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
     none = op10_divergence.counted(no_docs)
-    assert op10_divergence.judge(none, op10_divergence.references(none)).isEmpty()
+    assert op10_divergence.judge(none, op10_divergence.references(no_docs)).isEmpty()
     assert {r["kept"] for r in op10_divergence.judge(op10_divergence.counted(docs.where("doc_id <> 5")), {}).collect()} == {False}
 
 
@@ -155,7 +155,7 @@ def test_divergence_is_that_of_its_definition(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     table = op10_divergence.counted(docs)
-    refs = op10_divergence.references(table)
+    refs = op10_divergence.references(docs)
     rows = {r["doc_id"]: r for r in op10_divergence.judge(table, refs).collect()}
 
     def js(p, q):
