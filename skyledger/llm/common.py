@@ -22,13 +22,13 @@ SLICE_BYTES = 4 << 20
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder that ``spark.checkpoint.dir`` names.
 
-    The setting is read from the session; only where it is unset (tests, a laptop) is a local
-    temporary folder taken instead.
+    The setting is read from the session; where it is unset, a local temporary folder is taken if
+    driver and executors are one process, and on a cluster that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-skyledger-")
     return f"{root.rstrip('/')}/skyledger-{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +42,30 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of a join that may be taken apart as hot ones, and rows below which no key is one.
+MOST_HOT, LEAST_HOT = 10_000, 256
+
+
+def hot_keys(sizes: DataFrame, least: int = LEAST_HOT) -> DataFrame | None:
+    """The rows of ``sizes`` (a row for each key, ``n`` rows that have it) whose keys hold more than
+    one in ``MOST_HOT`` of all rows and more than ``least`` rows, None if there are none. They are
+    at most ``MOST_HOT``, whatever the rows are, and so they may be broadcast."""
+    found = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    limit = max((found["total"] or 0) // MOST_HOT, least)
+    return sizes.where(F.col("n") > limit) if (found["most"] or 0) > limit else None
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], least: int = LEAST_HOT) -> DataFrame:
+    """``rows`` joined with ``table``, a written table of one row for each key that also has ``n``,
+    how many of ``rows`` have the key. Rows of hot keys meet theirs by a broadcast of those few and
+    stay where they are; the others are shuffled."""
+    hot = hot_keys(table, least)
+    if hot is None:
+        return rows.join(table, keys)
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(table, keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

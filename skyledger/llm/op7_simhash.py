@@ -5,16 +5,19 @@ fingerprints are then joined with themselves at a Hamming distance of at most ``
 
 * The 64 bits are cut into ``budget + 2`` blocks. Two fingerprints within the budget agree on two
   whole blocks at least, so each pair of blocks gives a key, and linked fingerprints meet under a
-  key. Keys that one fingerprint alone has are dropped.
-* A key with more than ``unit_rows`` fingerprints is dealt into chunks, and each two chunks make a
-  unit of work of their own, so that no task gets more than two chunks of a key at once and no
-  link is lost.
+  key. Keys that one fingerprint alone has are dropped, and each other key is a unit of work.
+* The fingerprints of a key with more than ``unit_rows`` of them differ in the bits outside its
+  two blocks only. Those bits are cut into ``budget + 2`` blocks in turn, and pairs of these give
+  longer keys; and so on, until no unit is crowded (few bits left allow few fingerprints). Each
+  such step makes a fixed number of rows of one, so the work stays in proportion, and no link is lost.
 * The sorted fingerprints of a unit are a binary trie: a node is a range of rows that share their
   leading bits. The join walks pairs of nodes together from the roots down, adds one to the
   differing bits of a pair whose branches differ, and prunes it beyond the budget. Small pairs
   are leaves and are compared bit by bit. A pair whose rows are all connected already is pruned
   too, so a unit gives a spanning forest of its links and never all pairs of a dense group.
 
+Keys that hold a large share of the rows (``common.hot_keys``) are not shuffled to one task.
+
 Components of the forest's edges give the rest. Defined results: null texts and texts without a
 word have fingerprint zero and are linked like any others; a null ``doc_id`` keeps its row, and a
 component's id is its smallest non-null one; repeated rows give repeated rows; an empty table
@@ -31,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import documents, map_texts, stash
+from skyledger.llm.common import documents, join_spread, map_texts, stash
 from skyledger.llm.components import components
 
 SEED = 42
 #: Node pairs that one step of the walk expands, and rows of a pair of leaves.
 STEP_PAIRS, LEAF_ROWS = 1 << 18, 4
+#: Bits outside a key that make it small: 2 to the 12th fingerprints at most.
+FREE_BITS = 12
 
 
 def simhash(text: bytes, width: int) -> int:
@@ -184,35 +189,53 @@ def _compare(fps: np.ndarray, forest: Forest, lo: np.ndarray, hi: np.ndarray, lo
             forest.link(a[near], b[near])
 
 
-def block_masks(budget: int) -> list[int]:
-    """For each two of ``budget + 2`` blocks, the bits of both as a signed long."""
+def block_masks(budget: int, mask: int = 0) -> list[int]:
+    """The bits that ``mask`` leaves free are cut into ``budget + 2`` blocks; for each two of them,
+    their bits and the mask's, as a signed long."""
+    free = [i for i in range(64) if not mask >> i & 1]
     n = budget + 2
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    both = [x | y for x, y in combinations(blocks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in both]
+    cuts = [round(len(free) * k / n) for k in range(n + 1)]
+    blocks = [sum(1 << i for i in free[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [m - (1 << 64) if m >> 63 else m for m in sorted({mask | x | y for x, y in combinations(blocks, 2)})]
+
+
+def keyed(fps: DataFrame, masks: list[int], budget: int) -> DataFrame:
+    """``mask, key, fp`` of fingerprints under all masks that follow theirs (``mask``, of ``masks``)."""
+    follow = fps.sparkSession.createDataFrame([(m, block_masks(budget, m & ((1 << 64) - 1))) for m in masks], "mask long, masks array<long>")
+    longer = fps.join(F.broadcast(follow), "mask").select("fp", F.explode("masks").alias("mask"))  # as many rows as masks
+    return longer.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
 def near_links(distinct: DataFrame, budget: int = 4, unit_rows: int = 4096) -> DataFrame:
     """``a, b``: edges that connect the distinct fingerprints ``fp`` as their links do."""
-    keyed = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(block_masks(budget))])).alias("k")
-    ).select("fp", "k.pair", "k.key")
-    crowded = keyed.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(crowded, ["pair", "key"]).withColumn("chunks", F.ceil(F.col("n") / unit_rows).cast("int"))
-    own = F.pmod(F.xxhash64("fp", "pair"), F.col("chunks")).cast("int")
-    units = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("pair", "key", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "fp")
+    keys, masks = ["mask", "key"], [0]
+    fps, found = distinct.select("fp", F.lit(0).cast("long").alias("mask")), None
+    # a key with few bits left free has few distinct fingerprints, however many texts there are
+    crowded = (F.col("n") > unit_rows) & (F.bit_count("mask") < 64 - FREE_BITS)
+    while True:
+        rows = keyed(fps, masks, budget)
+        sizes = stash(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+        met = join_spread(rows, sizes, keys)
+        links = _unit_links(met.where(~crowded).select(*keys, "fp"), budget)
+        found = links if found is None else found.unionByName(links)
+        masks = [r["mask"] for r in sizes.where(crowded).select("mask").distinct().collect()]  # 15 for one of the step before, at a budget of 4
+        if not masks:
+            return found
+        fps = stash(met.where(crowded).select("fp", "mask").distinct(), "crowded")
+
+
+def _unit_links(units: DataFrame, budget: int) -> DataFrame:
+    """Edges ``a, b`` within each key (``mask, key``) of ``units``."""
     flipped = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # in this order, signed numbers stand as unsigned ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
-            fps = rows[4].view(np.uint64)
+            new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+            fps = rows[2].view(np.uint64)
             edges = trie_links(fps, np.flatnonzero(new), budget)
-            return pa.RecordBatch.from_arrays([pa.array(rows[4][e], pa.int64()) for e in edges], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[2][e], pa.int64()) for e in edges], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,7 +244,7 @@ def near_links(distinct: DataFrame, budget: int = 4, unit_rows: int = 4096) -> D
             if sum(h.shape[1] for h in held) < 100_000:
                 continue
             rows = np.concatenate(held, axis=1)
-            last = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))
+            last = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last unit may go on
             held = [rows[:, cut:]]
             if cut:
@@ -229,20 +252,19 @@ def near_links(distinct: DataFrame, budget: int = 4, unit_rows: int = 4096) -> D
         if held and (rows := np.concatenate(held, axis=1)).shape[1]:
             yield links(rows)
 
-    dealt = units.repartition("pair", "key", "u", "v").sortWithinPartitions("pair", "key", "u", "v", flipped)
+    dealt = units.repartition("mask", "key").sortWithinPartitions("mask", "key", flipped)
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def link_fingerprints(marked: DataFrame, budget: int = 4, unit_rows: int = 4096) -> DataFrame:
     """``marked`` (``doc_id, fp``, a written table) with ``component_id``."""
-    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(near_links(classes.select("fp"), budget, unit_rows))
-    grouped = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    joined = grouped.join(least, "root").select("fp", "least_id")
-    named = classes.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    # a table of its own, so that the last join stands alone and Spark can split a fingerprint that many documents have
-    return marked.join(stash(named, "named"), "fp")
+    grouped = stash(classes.select("fp", "first_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "grouped")
+    least = stash(grouped.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "least")
+    joined = join_spread(grouped.select("fp", "root"), least, ["root"]).select("fp", "least_id")
+    named = stash(classes.join(joined, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id")), "named")
+    return join_spread(marked, named, ["fp"]).drop("n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:

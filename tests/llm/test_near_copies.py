@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from skyledger.llm import op7_simhash
+from skyledger.llm import common, op7_simhash
 from skyledger.llm.components import components
 
 
@@ -68,6 +69,45 @@ def test_links_over_spark(spark, unit_rows):
         assert r["component_id"] == want[k]
 
 
+@pytest.mark.parametrize("budget", [2, 4])
+def test_masks_meet_all_links(budget):
+    """Two numbers within the budget agree under a mask, at every step; masks only grow."""
+    rng, whole = random.Random(4), (1 << 64) - 1
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for k in rng.sample(range(64), budget):
+            y ^= 1 << k
+        mask = 0
+        for _ in range(5):
+            masks = [m & whole for m in op7_simhash.block_masks(budget, mask)]
+            assert len(masks) <= (budget + 2) * (budget + 1) // 2 and all(m & mask == mask for m in masks)
+            mask = next(m for m in masks if not (x ^ y) & m)
+
+
+def test_a_crowded_key_makes_rows_in_proportion(spark):
+    """100,000 fingerprints that share half of their bits: no unit is crowded, no link is lost."""
+    rng = random.Random(8)
+    low = sorted({rng.getrandbits(40) for _ in range(99_900)})
+    planted = [(x, x ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20, 40))) for x in rng.sample(low, 50)]
+    fps = sorted({*low, *(y for _, y in planted)})
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    links = {(r["a"], r["b"]) for r in op7_simhash.near_links(distinct).collect()}
+    near = {frozenset(x) for x in links}
+    assert all((a ^ b).bit_count() <= 4 for a, b in links) and all(frozenset(p) in near or len(set(p)) < 2 for p in planted)
+    rows = op7_simhash.keyed(distinct.selectExpr("fp", "0L AS mask"), [0], 4)
+    assert rows.count() == 15 * len(fps)
+
+
+def test_hot_keys_are_few_and_joined(spark):
+    keys = [0] * 700 + [1] * 300 + list(range(2, 300))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    sizes = common.stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    assert {r["k"] for r in common.hot_keys(sizes).collect()} == {0, 1} and common.hot_keys(sizes, 1000) is None
+    got = sorted((r["i"], r["n"]) for r in common.join_spread(rows, sizes, ["k"]).collect())
+    assert got == sorted((i, keys.count(k)) for i, k in enumerate(keys))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
