@@ -48,6 +48,44 @@ def test_chain_marginals_are_those_of_all_labelings():
     assert np.allclose(expected, total)
 
 
+def test_segments_of_long_chains():
+    """Chains cut into segments, and a text of a million lines, against one walk over each chain."""
+    rng = np.random.default_rng(4)
+    counts, pairs = np.array([1, 700, 3, 64, 65, 129, 2]), rng.normal(size=(2, 2))
+    z = 3 * rng.normal(size=int(counts.sum()))
+    whole = op8_quality.marginals(z, counts, pairs, 10**9)
+    for most in (1, 2, 64):
+        for a, b in zip(op8_quality.marginals(z, counts, pairs, most), whole, strict=True):
+            assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    text = "\n".join(f"line {k}" for k in range(10**6))
+    weights = np.linspace(-1, 1, op8_quality.WIDTH)
+    model = op8_quality.Model(weights, pairs, np.zeros(op8_quality.WIDTH), np.ones(op8_quality.WIDTH))
+    p, n, size = op8_quality.Scorer(model).lines_of([text, "one line"])
+    assert n.tolist() == [10**6, 1] and len(p) == len(size) == 10**6 + 1 and ((p >= 0) & (p <= 1)).all()
+
+
+def test_line_features_one_by_one(monkeypatch):
+    """Features against a plain loop, long lines in pieces too."""
+    texts = ["A line, of 3 words.\n\nA line, of 3 words.\n||| x x x\té 日本 #", "", " a  a b " * 50]
+    got, counts, size = op8_quality.Lines().features(texts)
+    monkeypatch.setattr(op8_quality, "LONG_LINE", 7)
+    assert np.array_equal(op8_quality.Lines().features(texts)[0], got) and counts.tolist() == [4, 1, 1]
+    at = 0
+    for text in texts:
+        lines = text.split("\n")
+        own = []
+        for k, line in enumerate(lines):
+            words, n = line.split(), len(line)
+            shares = [sum(op8_quality._kind(c) == j for c in line) / max(n, 1) for j in range(len(op8_quality.KINDS))]
+            twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+            own.append([*shares, np.log1p(len(words)), min(n / max(len(words), 1), 40) / 10, 1 - len(set(words)) / max(len(words), 1), twice / max(len(words) - 1, 1), line in lines[:k], not words, np.log1p(n) / 5])
+        none = [0.0] * op8_quality.OWN
+        for k in range(len(lines)):
+            row = own[k] + (own[k - 1] if k else none) + (own[k + 1] if k + 1 < len(lines) else none) + [k == 0, k + 1 == len(lines), 1.0]
+            assert np.allclose(got[at], row) and size[at] == len(lines[k]) + 1
+            at += 1
+
+
 def test_languages(spark, odd_docs, no_docs):
     sample = [("en", "the house and the garden of the king")] * 5 + [("de", "das haus und der garten des königs")] * 5
     model = op6_language.train(sample)
