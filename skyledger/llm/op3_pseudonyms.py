@@ -9,10 +9,14 @@ different; whoever has the key can go back (``permute(..., back=True)``).
 
 Kinds: card numbers (13 to 19 digits, Luhn; the check digit is made anew; one unbroken run or a
 grouping of cards goes before the longest run of groups, so an expiry date or a security code
-beside a card is no part of it), IBANs (mod 97, made
-anew), North American phone numbers, US social security numbers, IPv4 addresses, ISO, slashed and
-dotted dates from 1900 to 2099, e-mail addresses (the local part; letters stay letters and digits
-digits), and keys, tokens or passwords of 16 or more hexadecimal digits.
+beside a card is no part of it), IBANs (the country's length and mod 97, made anew; what follows
+is no part of one), North American phone numbers (area and exchange codes begin with 2 to 9), US
+social security numbers, IPv4 addresses, ISO, slashed and
+dotted dates from 1900 to 2099, e-mail addresses (the local part of any length; letters stay
+letters and digits digits), and keys, tokens or passwords of 16 or more hexadecimal digits.
+
+The key is a setting of the session, ``spark.skyledger.pseudonym.key``; where there is none, the
+example key of this file is taken, which hides nothing from who has this file, and a warning says so.
 
 Defined results: a null text stays null and has no finds; an empty text stays empty; repeated rows
 change alike; text outside the finds is not touched, and its length never changes.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -45,8 +50,19 @@ BEFORE = re.compile(r"[\w.]")
 GROUP = re.compile(r"[ -](\d{1,20})")
 #: How the digits of cards are grouped, if they do not stand in one run.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
-IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+#: How many characters an IBAN of each country has.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Characters that are permuted as one number; longer texts are permuted piece by piece.
+PIECE = 64
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,})(?![0-9a-z])")
 
@@ -61,7 +77,8 @@ def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) ->
     tweak = kind.encode()[:16]
 
     def mix(r: int, x: int) -> int:
-        seed = hashlib.blake2b(bytes([r]) + x.to_bytes(width, "big"), digest_size=min(64, width), key=key, person=tweak).digest()
+        data = bytes([r]) + x.to_bytes(width, "big")
+        seed = b"".join(hashlib.blake2b(data, digest_size=min(64, width - k), key=key, person=tweak, salt=k.to_bytes(4, "big")).digest() for k in range(0, width, 64))
         return int.from_bytes(seed, "big") & mask
 
     while True:
@@ -152,10 +169,16 @@ class Finder:
             if valid(digits):
                 return refill(s, digits)
 
-    def _phone(self, s: str) -> str:
+    def _phone(self, s: str) -> str | None:
+        valid = lambda d: d[0] > "1" and d[3] > "1"
         digits = re.sub(r"\D", "", s)
         lead, rest = digits[:-10], digits[-10:]
-        return refill(s, lead + f"{permute(int(rest), 10**10, self.key, 'phone'):010d}")
+        if not valid(rest):
+            return None
+        while True:
+            rest = f"{permute(int(rest), 10**10, self.key, 'phone'):010d}"
+            if valid(rest):
+                return refill(s, lead + rest)
 
     def _ip(self, s: str) -> str | None:
         parts = s.split(".")
@@ -204,11 +227,22 @@ class Finder:
 
     def _email(self, s: str) -> str:
         shape = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
-        return mixed(s, self.key, "e" + hashlib.md5(shape.encode()).hexdigest()[:14])
+        kind = hashlib.md5(shape.encode()).hexdigest()
+        return "".join(mixed(s[k : k + PIECE], self.key, f"{k // PIECE:x}e{kind}") for k in range(0, len(s), PIECE))
 
     def _secret(self, s: str) -> str:
         return hexed(s, self.key, "secret")
 
+    def iban_end(self, text: str, a: int, b: int) -> int | None:
+        """Where the IBAN that begins at ``a`` ends, at ``b`` at the latest: after as many characters
+        as its country's have, or, of a country that is not listed, the most that are valid."""
+        ends = [k + 1 for k in range(a, b) if text[k] != " "]
+        size = IBAN_SIZES.get(text[a : a + 2])
+        for n in [size] if size else range(min(34, len(ends)), 14, -1):
+            if n <= len(ends) and not BEFORE.match(text[ends[n - 1] : ends[n - 1] + 1].strip(".")) and self.pseudonym("iban", text[a : ends[n - 1]]) is not None:
+                return ends[n - 1]
+        return None
+
     def card_span(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         """Where in or from the match ``a, b`` a valid card stands: in one run or in the groups of
         cards, from any group of the match on; else the match, or its longest part from ``a`` that
@@ -245,12 +279,19 @@ class Finder:
             return text, []
         spans: list[tuple[int, int, str]] = []
         spans += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
-        spans += [(*m.span(), "iban") for m in IBAN.finditer(text)]
+        pos = 0
+        while m := IBAN.search(text, pos):
+            end = self.iban_end(text, *m.span())
+            if end is not None:
+                spans.append((m.start(), end, "iban"))
+            pos = end or m.start() + 1  # another may begin within what is none
         at = text.find("@")
         while at >= 0:
-            local = LOCAL.search(text, max(0, at - 64), at)
-            if local and DOMAIN.match(text, at):
-                spans.append((local.start(), at, "email"))
+            local = at
+            while local and text[local - 1] in LOCAL:
+                local -= 1
+            if local < at and DOMAIN.match(text, at):
+                spans.append((local, at, "email"))
             at = text.find("@", at + 1)
         pos = 0
         while m := NUMBER.search(text, pos):
@@ -304,9 +345,19 @@ def pseudonymise(docs: DataFrame, key: bytes, carry: tuple[str, ...] = ("doc_id"
     return map_texts(slim, step, f"{columns_of(slim, others)}, text string, found array<struct<start:int,end:int,kind:string>>")
 
 
-#: The key of the registered query and of the pipeline; a deployment passes a secret of its own.
-EXAMPLE_KEY = b"skyledger example key, not a secret"
+#: For tests and trials; a deployment sets a secret of its own.
+EXAMPLE_KEY, KEY_SETTING = b"skyledger example key, not a secret", "spark.skyledger.pseudonym.key"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key: at most 64 bytes are used as they are, more by their digest."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public example key", stacklevel=2)
+        return EXAMPLE_KEY
+    key = found.encode()
+    return key if len(key) <= 64 else hashlib.blake2b(key).digest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir), EXAMPLE_KEY).select("doc_id", "text", F.size("found").alias("n_found"), F.array_join("found.kind", ",").alias("kinds"))
+    return pseudonymise(documents(spark, sf_dir), session_key(spark)).select("doc_id", "text", F.size("found").alias("n_found"), F.array_join("found.kind", ",").alias("kinds"))
