@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import OUTLIER_MIN, effective_delay, ratio, shift_ym, within
-from skyledger.functions.measures import fact_measures
+from skyledger.functions.measures import SUMMED, add_up, completed
 
 FACT_KEYS = ("ym", "year", "month", "route", "origin_node", "dest_node", "group", "class")
 ROUTE_KEYS = FACT_KEYS[:6]
@@ -42,9 +42,8 @@ def build_fact(legs: DataFrame, groups: DataFrame, threshold: float = OUTLIER_MI
     grouped by key and flight number, so no plan with a row per distinct value and measure arises.
     """
     rows = label_carriers(legs.where(F.col("universe_repl") & F.col("route").isNotNull() & F.col("ym").isNotNull()), groups)
-    measures = fact_measures(threshold)
-    fine = rows.groupBy(*FACT_KEYS, "flight_number").agg(*[c.alias(n) for n, c in measures.items()])
-    fact = fine.groupBy(*FACT_KEYS).agg(*[F.sum(n).alias(n) for n in measures], F.count("flight_number").alias("n_flight_numbers"))
+    fine = add_up(rows, [*FACT_KEYS, "flight_number"], threshold)
+    fact = completed(fine.groupBy(*FACT_KEYS).agg(*[F.sum(m.name).alias(m.name) for m in SUMMED], F.count("flight_number").alias("n_flight_numbers")))
     spell = Window.partitionBy("route", "group").orderBy("ym")
     entry = F.coalesce(F.lag("ym").over(spell) != shift_ym("ym", -1), F.lit(True))
     left = F.coalesce(F.lead("ym").over(spell) != shift_ym("ym", 1), F.lit(True))

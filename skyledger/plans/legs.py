@@ -6,9 +6,13 @@ from ``legs``; their SQL twins put ``LEGS`` in front as a common table expressio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.sources.raw import materialised
+
 METRO = {"N00": "M1", "N01": "M1", "N02": "M1", "N03": "M2", "N04": "M2"}
 LAST_LEGACY_YEAR, YEARS = 1998, tuple(range(1995, 2002))
 LCC_GROUPS, FSC_GROUPS, CLASSES = ("G1",), ("G0", "G2"), ("FSC", "LCC", "regional", "other")
@@ -74,12 +78,37 @@ SELECT * FROM (VALUES
 """
 
 
-def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The legs, with ``dow`` (Monday is 0)."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier")}
+TABLES = ("lineitem", "orders", "customer", "supplier")
+#: Written tables of this process, by the session's application, their name and the state of the files they were made from.
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written when it is first asked for and read from then on, as
+    long as the input files are the same (path, time and size). Every step after it starts from files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{sf_dir}/{t}.parquet" for t in TABLES])
+    state = frozenset(files.select("path", "modificationTime", "length").collect())  # a row for each file
+    key = (spark.sparkContext.applicationId, name, state)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialised(make(), name)
+    return _WRITTEN[key]
+
+
+def computed_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legs, with ``dow`` (Monday is 0). A small table that comes as fewer splits than there are
+    cores is spread over them first."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    cores = spark.sparkContext.defaultParallelism
+    if tables["lineitem"].rdd.getNumPartitions() < cores:
+        tables["lineitem"] = tables["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag").repartition(cores)
     return spark.sql(LEGS, **tables).withColumn("dow", F.weekday("flight_date"))
 
 
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged legs, written once."""
+    return written_once(spark, sf_dir, "legs", lambda: computed_legs(spark, sf_dir))
+
+
 def groups(spark: SparkSession) -> DataFrame:
     """The dated carrier table: at most a few rows a carrier."""
     return spark.sql(GROUPS)

@@ -34,7 +34,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
-    return A.build_fact(L.legs(spark, sf), L.groups(spark))
+    """The fact table, written once: all coarser tables start from it."""
+    return L.written_once(spark, sf, "fact", lambda: A.build_fact(L.legs(spark, sf), L.groups(spark)))
 
 
 def _panel_fact(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +151,7 @@ def route_structure(spark, sf):
 
 @query
 def city_month(spark, sf):
-    legs = L.legs(spark, sf)
-    c = J.city_month(A.build_fact(legs, L.groups(spark)), A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES)
+    c = J.city_month(_fact(spark, sf), A.node_day_hour(L.legs(spark, sf)), L.LCC_GROUPS, L.CLASSES)
     return rounded(c.select(*J.CITY_KEYS, "dep_flights", "arr_flights", "movements_cancelled", *P.CITY_COLUMNS))
 
 
@@ -343,15 +343,14 @@ def uniqueness_report(spark, sf):
 
 @query
 def additivity_check(spark, sf):
-    legs = L.legs(spark, sf)
-    return Q.additivity(A.build_fact(legs, L.groups(spark)).where("route <> 'M1-M2'"), legs)
+    return Q.additivity(_fact(spark, sf).where("route <> 'M1-M2'"), L.legs(spark, sf))
 
 
 @query
 def table_diff(spark, sf):
     """The fact under another outlier threshold against the fact as it is."""
-    legs, g = L.legs(spark, sf), L.groups(spark)
-    return Q.table_diff(A.build_fact(legs, g), A.build_fact(legs, g, threshold=75.0), ["ym", "route", "group"], ["flights", "arr_outliers"])
+    other = A.build_fact(L.legs(spark, sf), L.groups(spark), threshold=75.0)
+    return Q.table_diff(_fact(spark, sf), other, ["ym", "route", "group"], ["flights", "arr_outliers"])
 
 
 @query

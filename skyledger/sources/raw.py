@@ -123,9 +123,13 @@ def read_staged(spark: SparkSession, path: str, years: tuple[int, ...] | None =
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names; a local one only where that
-    is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-skyledger-")
+    """A new folder below the one that ``spark.checkpoint.dir`` names; where that is unset, a local
+    one if driver and executors are one process, else an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-skyledger-")
     return f"{root.rstrip('/')}/skyledger-{name}-{uuid.uuid4().hex}"
 
 

@@ -1,10 +1,11 @@
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions import columns as C
-from skyledger.functions.measures import fact_measures, measure_rules
+from skyledger.functions import measures as M
 from skyledger.operators import regress as R
 
 
@@ -37,8 +38,25 @@ def test_delays(spark):
     assert one(spark, a=C.finite(F.lit(float("inf"))), b=C.ratio(F.lit(1), F.lit(0)), c=C.ratio(F.lit(1), F.lit(4))) == {"a": None, "b": None, "c": 0.25}
 
 
-def test_rules_cover_the_measures():
-    assert set(measure_rules()) == {*fact_measures()}
+def test_every_measure_has_one_end_and_follows_from_what_is_summed():
+    names = [m.name for m in (*M.SUMMED, *M.FOLLOWING)]
+    assert len(set(names)) == len(names) and set(M.of_end("dep", "arr", "both", None)) == set(M.ADDITIVE)
+    assert all(re.fullmatch("[a-z_0-9]+", w) is None or w in names for m in M.FOLLOWING for w in re.split("[^a-z_0-9]+", m.how) if w)
+
+
+def test_measures_of_a_few_legs(spark):
+    """Counts take every realised delay, sums those within the threshold, and p15 the whole delay."""
+    rows = [("realized", 20.0, 40.0, 60, 80, 23, 6, "XO"), ("realized", 400.0, -5.0, 60, None, 8, 1, None), ("realized", None, None, None, None, 0, 2, "ZZ"), ("cancelled", None, None, 60, None, 5, 5, "XN")]
+    legs = spark.createDataFrame(rows, "status string, dep_delay_min double, arr_delay_min double, sched_block_min int, actual_block_min int, dep_hour int, dow int, cause_code string")
+    at = F.lit(datetime(2000, 1, 1)).cast("timestamp_ntz")
+    seen = lambda e: F.when(F.col(f"{e}_delay_min").isNotNull(), at)
+    legs = legs.withColumns({"is_realized": F.col("status") == "realized", "k": F.lit(1), "sched_dep": at, "sched_arr": at, "actual_dep": seen("dep"), "actual_arr": seen("arr")})
+    got = M.completed(M.add_up(legs, ["k"])).first().asDict()
+    want = {"flights": 4, "realized": 3, "cancelled": 1, "dep_delay_obs": 2, "dep_missing_actual": 1, "dep_delayed_gt60": 1, "dep_outliers": 1, "sum_dep_delay_min": 20.0, "sum_dep_delay_p15_min": 20.0,
+            "arr_early": 1, "sum_arr_delay_min": 35.0, "sum_arr_delay_pos_min": 40.0, "arr_delayed_1530": 0, "arr_delayed_gt30": 1, "recovery_obs": 2, "sum_recovery_min": -385.0, "recovered_gt15": 1,
+            "sched_block_obs": 3, "padding_obs": 1, "sum_padding_min": -20.0, "night_flights": 3, "weekend_flights": 2, "cause_none": 1, "cause_other": 2, "cause_weather": 1, "cause_set_prwheather": 1,
+            "cancel_technical": 1, "cancel_weather": 0, "sched_dep_h23": 1, "sched_dep_h08": 1}
+    assert {n: got[n] for n in want} == want and set(got) == {"k", *M.ADDITIVE}
 
 
 def test_chi_square():
