@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -144,3 +145,10 @@ class ChunkEncoder:
             if len(t) > self.longest:
                 del known[t]
         return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, kind: str) -> ChunkEncoder:
+    """The encoder of this Python process. Workers serve many tasks, and pre-tokens that one task met
+    are known to the next; a new worker starts with none, and the ids are the same."""
+    return ChunkEncoder(path, kind)

@@ -1,7 +1,7 @@
 """Operator 1: token ids as compressed planes of fixed-size blocks.
 
 Format (a Parquet table, so any store that Spark reaches can hold it). Documents are dealt by
-ranges of ``doc_id``; each range is a *shard*, a stream of ids in ascending ``doc_id`` order. The
+ranges of ``doc_id`` (of equal ids by a hash of the text); each range is a *shard*, a stream of ids in ascending ``doc_id`` order. The
 stream is cut into blocks of ``block_ids`` ids. A block is transposed into byte planes (or bit
 planes), each plane is compressed with zstandard, and the row holds:
 
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.chunked_tokens import ChunkEncoder
+from skyledger.llm.chunked_tokens import worker_encoder
 from skyledger.llm.common import documents, scratch_path, text_slices, texts_of
 
 BLOCK_SCHEMA = (
@@ -81,7 +81,7 @@ def write_planes(
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=level).compress
-        coder = ChunkEncoder(tokenizer, kind)
+        coder = worker_encoder(tokenizer, kind)
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         held: list[np.ndarray] = []
@@ -115,7 +115,8 @@ def write_planes(
             yield flush()
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a repeated or null id is dealt on by the text, so that no shard gets all of its rows
+    dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").drop("h")
     # the planes are compressed already
     dealt.mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.chunked_tokens import ChunkEncoder
+from skyledger.llm.chunked_tokens import worker_encoder
 from skyledger.llm.common import documents, stash, text_slices, texts_of
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, lane int, lane_rank long, ids binary"
@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, kind: str
     (little-endian unsigned 32-bit), as a written table. The first piece takes what is over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(tokenizer, kind)
+        coder = worker_encoder(tokenizer, kind)
         lane = TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = defaultdict(int)
