@@ -12,7 +12,8 @@ No piece of such a vocabulary has the space mark after another character, so mer
 the place before a run of spaces, and a text's ids are those of its chunks (``splits_at_marks``
 checks this on the vocabulary; a vocabulary without it is merged text by text). Each distinct
 chunk of an Arrow batch is also encoded by the sentencepiece library, and the two answers are
-compared; the library's stands where they differ, and ``n_mismatched`` counts those chunks.
+compared; the library's stands where they differ, and ``n_mismatched`` counts those chunks of a text
+(none in any table of the tests).
 
 Defined results: null and empty texts have the end id alone and decode to the empty string.
 Special symbols written in a text are ordinary text. Repeated rows give equal rows.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -45,7 +47,8 @@ class Merges:
 
         self.library = sp = SentencePieceProcessor(model_file=path)
         self.end = sp.eos_id()
-        self.known = Recent(keep)  # chunk: its ids as text and as numbers
+        self.known = Recent(keep)  # chunk: its ids as text and as numbers, and whether the library's were others
+        self.differed = False  # whether any chunk's were
         self.id_of, self.score, self.bytes_of = {}, np.zeros(len(sp), dtype=np.float64), {}
         for i in range(len(sp)):
             piece = sp.id_to_piece(i)
@@ -216,8 +219,8 @@ class Merges:
             out.append(marks + p)
         return out
 
-    def learn(self, chunks: set[str]) -> int:
-        """Merge chunks that aren't known yet and compare them with the library's; the number that differ."""
+    def learn(self, chunks: set[str]) -> None:
+        """Merge chunks that aren't known yet and compare them with the library's."""
         missing = sorted(self.known.lacking(chunks), key=len)
         short = [c for c in missing if len(c) <= ROW_CHARS]
         mine: list[tuple[int, ...]] = []
@@ -226,31 +229,36 @@ class Merges:
         mine += [self.merge_heap(c) for c in missing[len(short) :]]
         # the library puts the first mark itself: to a chunk that has one in place of it, to one that begins a line as a piece of its own
         theirs = self.library.encode([(c[1:] if c[0] == MARK else c).replace(MARK, " ") for c in missing], num_threads=1)
-        bad = 0
         for chunk, own, ids in zip(missing, mine, theirs, strict=True):
             right = tuple(ids if chunk[0] == MARK else ids[1:])
-            if own != right and len(chunk) > 1:
-                own, bad = right, bad + 1
-            self.known[chunk] = (" ".join(map(str, own)), own)
-        return bad
+            differs = own != right and len(chunk) > 1
+            self.differed |= differs
+            self.known[chunk] = (" ".join(map(str, right if differs else own)), right if differs else own, differs)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], int]:
-        """Chunks of each text, all of them known then, and how many chunks differed."""
+    def encode(self, texts: list[str]) -> tuple[list[list[str]], list[int]]:
+        """Chunks of each text, all of them known then, and how many of each text's differed."""
         cut = [self.cut(t) for t in texts]
-        return cut, self.learn(set(chain.from_iterable(cut)))
+        self.learn(set(chain.from_iterable(cut)))
+        return cut, [sum(self.known[c][2] for c in chunks) for chunks in cut] if self.differed else [0] * len(cut)
+
+
+@lru_cache(maxsize=1)
+def worker_merges(model: str) -> Merges:
+    """The vocabulary and the chunks known of this Python process, which serves many tasks."""
+    return Merges(model)
 
 
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids array<int>, decoded string, n_mismatched int`` of every whole text."""
 
     def step():
-        merges = Merges(model)
+        merges = worker_merges(model)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             cut, bad = merges.encode(texts_of(batch))
             ids = [[*chain.from_iterable(merges.known[c][1] for c in chunks), merges.end] for chunks in cut]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(merges.library.decode(ids, num_threads=1), pa.string()), pa.array([bad] * len(ids), pa.int32())],
+                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(merges.library.decode(ids, num_threads=1), pa.string()), pa.array(bad, pa.int32())],
                 names=["doc_id", "ids", "decoded", "n_mismatched"],
             )
 
@@ -264,7 +272,7 @@ def digest_texts(docs: DataFrame, model: str) -> DataFrame:
     """As ``encode_texts``, with the ids' and the decoded text's digests in place of both."""
 
     def step():
-        merges = Merges(model)
+        merges = worker_merges(model)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             cut, bad = merges.encode(texts_of(batch))
@@ -273,7 +281,7 @@ def digest_texts(docs: DataFrame, model: str) -> DataFrame:
             spelled = [" ".join([*[known[c][0] for c in chunks], str(merges.end)]) for chunks in cut]
             decoded = merges.library.decode(ids, num_threads=1)
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-            columns = [[len(x) for x in ids], [sha(s) for s in spelled], [sha(s) for s in decoded], [bad] * len(ids)]
+            columns = [[len(x) for x in ids], [sha(s) for s in spelled], [sha(s) for s in decoded], bad]
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)]],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mismatched"],
