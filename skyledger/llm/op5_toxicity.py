@@ -9,6 +9,9 @@ offend; scoring then says which sentences those are.
 The model is fitted on the driver from a bounded sample of labelled documents (``max_docs`` of
 them, half of either label, the least by a hash of the id, each of at most ``max_chars`` characters and taken whole) and
 is a vector of ``1 << bits`` numbers, which is broadcast. Every row is scored over its whole text.
+How readily it flags is set on documents that were not learned from: two models, each of one half of
+the sample, score the other half, and the bias is raised as far as at most ``false_alarms`` of the
+clean ones reach ``cut`` (``flagging``).
 
 Defined results: null and empty texts have no sentence and score 0; repeated rows score alike; a
 label that is null is not learned from, and of several labels of one id the larger counts; with no
@@ -111,6 +114,27 @@ def train(sample: list[tuple[str, int]], bits: int = 18, steps: int = 200, rate:
     return Model(w.astype(np.float32), float(b), bits)
 
 
+def flagging(sample: list[tuple[str, int]], cut: float = 0.7, false_alarms: float = 0.005, most: float = 1.0, **params) -> float:
+    """What to add to the bias, 0 to ``most``: the most at which at most ``false_alarms`` of the clean
+    documents score ``cut`` or more under a model of the sample's other half."""
+    raises = np.linspace(0.0, most, 21)
+    flagged, clean = np.zeros(len(raises)), 0
+    for k in (0, 1):
+        scorer = Scorer(train(sample[k::2], **params))
+        for text, label in sample[1 - k :: 2]:
+            if not label:
+                z = scorer.logits(text)[1]
+                scores = -np.expm1(-np.logaddexp(0, z[None, :] + raises[:, None]).sum(axis=1))
+                flagged, clean = flagged + (scores >= cut), clean + 1
+    fine = np.flatnonzero(flagged <= false_alarms * clean)
+    return float(raises[fine[-1]]) if clean and len(fine) else 0.0
+
+
+def fit(sample: list[tuple[str, int]], cut: float = 0.7, **params) -> Model:
+    model = train(sample, **params)
+    return Model(model.weights, model.bias + flagging(sample, cut, **params), model.bits)
+
+
 class Scorer:
     """Sentence probabilities of a text; the weights of words are kept up to ``keep`` words."""
 
@@ -118,7 +142,7 @@ class Scorer:
         self.model, self.keep = model, keep
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    def logits(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
         model, known, spans, z = self.model, self.known, [], []
         weights = model.weights
         for m in SENTENCE.finditer(text):
@@ -134,7 +158,12 @@ class Scorer:
             if found:
                 spans.append(m.span())
                 z.append(weights[list(found)].sum(dtype=np.float64))
-        return spans, 1 / (1 + np.exp(-(np.array(z) + model.bias)))
+        return spans, np.array(z) + model.bias
+
+    def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Where the sentences with a word stand, and the probability of each."""
+        spans, z = self.logits(text)
+        return spans, 1 / (1 + np.exp(-z))
 
     def document(self, p: np.ndarray) -> float:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
@@ -166,7 +195,7 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str, max_docs: int = 4000, max_chars: int = 40_000) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = held_out(3, 1)
-    model = train(labelled_sample(docs, labels(spark, sf_dir), "toxic", ~out, max_docs, max_chars))
+    model = fit(labelled_sample(docs, labels(spark, sf_dir), "toxic", ~out, max_docs, max_chars))
     return score(docs, model).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("sentences").alias("n_offending")
     )

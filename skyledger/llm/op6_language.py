@@ -7,11 +7,14 @@ languages). A batch of texts is scored at once: the rows that its n-grams pick a
 text. Naive Bayes takes n-grams for independent, which they are not; the sum is therefore scaled
 to at most ``trust`` n-grams before it is turned into a probability.
 
-The counts come from a bounded sample: about ``per_language`` documents of each language, chosen
-by a hash of the id, each of at most ``max_chars`` characters and whole.
+The counts come from a bounded sample: of each of the ``most_languages`` values of ``lang`` that most
+rows have, about ``per_language`` documents, and about ``max_docs`` of all, chosen by a hash of the id,
+each of at most ``max_chars`` characters and whole. So neither the sample nor the matrix grows with
+the rows or with a dirty ``lang``.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to
-learn from, every text is ``und``; repeated rows score alike.
+learn from, every text is ``und``; repeated rows score alike; of languages of equal probability the
+first by name is predicted.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import carried, columns_of, documents, extended, held_out, map_texts, texts_of
 
 UNKNOWN = "und"
-#: Languages up to which their shares are broadcast, and bytes of text scored at once (an n-gram takes a row of the matrix).
-MOST_SENT, SCORE_BYTES = 10_000, 1 << 20
+#: Bytes of text that are hashed at once, unless one text alone is longer, and n-grams that are scored at once.
+SCORE_BYTES, SCORE_GRAMS = 1 << 20, 1 << 18
 ORDERS = 3
 
 
@@ -87,13 +90,15 @@ def train(sample: list[tuple[str, str]], bits: int = 16, trust: int = 60) -> Mod
     languages = sorted({lang for lang, _ in sample})
     counts = np.full((1 << bits, len(languages)), 0.5)
     grams = Grams(bits)
-    for k, lang in enumerate(languages):
-        texts = [t for name, t in sample if name == lang]
+    by_language: dict[str, list[str]] = {lang: [] for lang in languages}
+    for lang, text in sample:
+        by_language[lang].append(text)
+    for k, texts in enumerate(by_language.values()):
         for at in range(0, len(texts), 500):
             mapped, starts = grams.letters(texts[at : at + 500])
             for h, ok in grams.hashes(mapped, starts):
                 counts[:, k] += np.bincount(h[ok], minlength=1 << bits)
-    n = np.array([sum(lang == name for name, _ in sample) for lang in languages], dtype=np.float64)
+    n = np.array([len(texts) for texts in by_language.values()], dtype=np.float64)
     log_p = np.log(counts) - np.log(counts.sum(axis=0))
     return Model(languages, log_p.astype(np.float32), np.log(n / n.sum()) if len(n) else n, bits, trust)
 
@@ -105,11 +110,15 @@ def predict(model: Model, grams: Grams, texts: list[str]) -> tuple[list[str], li
     mapped, starts = grams.letters(texts)
     sums, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     for h, ok in grams.hashes(mapped, starts):
-        rows = model.log_p[h]
-        rows[~ok] = 0
-        at = np.minimum(starts[:-1], len(h) - 1)
-        sums += np.add.reduceat(rows, at, axis=0, dtype=np.float64)
-        n += np.add.reduceat(ok.astype(np.int64), at)
+        # a long text's n-grams are added up in blocks
+        for a in range(0, len(h), SCORE_GRAMS):
+            part, counts = h[a : a + SCORE_GRAMS], ok[a : a + SCORE_GRAMS]
+            rows = model.log_p[part]
+            rows[~counts] = 0
+            first, last = np.searchsorted(starts, [a, a + len(part) - 1], side="right") - 1
+            here = np.maximum(starts[first : min(last, len(texts) - 1) + 1] - a, 0)
+            sums[first : first + len(here)] += np.add.reduceat(rows, here, axis=0, dtype=np.float64)
+            n[first : first + len(here)] += np.add.reduceat(counts.astype(np.int64), here)
     lettered = np.add.reduceat((mapped != 32).astype(np.int64), starts[:-1]) > 0
     z = model.prior + sums * (np.minimum(n, model.trust) / np.maximum(n, 1))[:, None]
     z -= z.max(axis=1, keepdims=True)
@@ -122,21 +131,23 @@ def predict(model: Model, grams: Grams, texts: list[str]) -> tuple[list[str], li
     )
 
 
-def sample_languages(docs: DataFrame, keep, per_language: int, max_chars: int) -> list[tuple[str, str]]:
-    """About ``per_language`` whole texts of each language among rows that ``keep`` allows."""
+def sample_languages(docs: DataFrame, keep, per_language: int, max_docs: int, most_languages: int, max_chars: int) -> list[tuple[str, str]]:
+    """About ``per_language`` whole texts of each language among rows that ``keep`` allows, and about
+    ``max_docs`` of all."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep)
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = sizes.select("lang", (F.lit(per_language) / F.col("n")).alias("share")).persist()
-    # a row for each language: sent to all tasks if there are as few as there should be, else joined by a shuffle
-    few = shares.count() <= MOST_SENT
-    drawn = usable.join(F.broadcast(shares) if few else shares, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) & (F.length("text") <= max_chars))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not sizes:
+        return []
+    each = min(per_language, max(1, max_docs // len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in sizes], "lang string, share double")
+    # ``most_languages`` rows at most
+    drawn = usable.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) & (F.length("text") <= max_chars))
     rows = drawn.groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x")).orderBy("doc_id").select("x.lang", "x.text").collect()
-    shares.unpersist()
     return [(r["lang"], r["text"]) for r in rows]
 
 
-def fit(docs: DataFrame, keep, per_language: int = 1000, max_chars: int = 40_000) -> Model:
-    return train(sample_languages(docs.select("doc_id", "text", "lang"), keep, per_language, max_chars))
+def fit(docs: DataFrame, keep, per_language: int = 1000, max_docs: int = 20_000, most_languages: int = 200, max_chars: int = 40_000) -> Model:
+    return train(sample_languages(docs.select("doc_id", "text", "lang"), keep, per_language, max_docs, most_languages, max_chars))
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

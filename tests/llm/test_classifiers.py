@@ -113,13 +113,103 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     assert op5_toxicity.train([]).bias <= 0 and op8_quality.train([]).weights[-1] == 0
 
 
-@pytest.mark.parametrize(("module", "label", "cut", "least"), [(op8_quality, "quality", 0.5, 0.97), (op5_toxicity, "toxic", 0.7, 0.93)])
-def test_held_out_accuracy(spark, module, label, cut, least):
-    sf = "/root/testdata/sf0.01"
+def held_out_figures(spark, module, label, cut, sf):
+    """Of held-out labelled documents: the share caught of label 1, and flagged of label 0."""
     marks = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = module.query(spark, sf).join(marks, "doc_id").where("held_out")
-    got = rows.agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a"), F.count_if((F.col("score") >= cut) != (F.col("predicted") == 1)).alias("odd")).first()
-    assert got["a"] >= (least if label == "quality" else 0.85) and got["odd"] == 0
+    rows = module.query(spark, sf)
+    assert rows.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    known = rows.join(marks, "doc_id").where(f"held_out and {label} is not null").cache()
+    assert known.where(((F.col("score") >= cut) != (F.col("predicted") == 1)) | ~F.col("score").between(0, 1)).isEmpty()
+    return [known.where(f"{label} = {k}").agg(F.avg("predicted")).first()[0] for k in (1, 0)]
+
+
+def test_held_out_quality(spark):
+    caught, wrong = held_out_figures(spark, op8_quality, "quality", 0.5, "/root/testdata/sf0.01")
+    assert caught >= 0.97 and wrong <= 0.03
+
+
+def test_held_out_toxicity(spark):
+    """Of the documents that are labelled toxic at this scale, 58 of 449 hold none of the ten words that
+    mark all others, and 15 clean ones hold one: nine in ten are about all that can be caught."""
+    caught, wrong = held_out_figures(spark, op5_toxicity, "toxic", 0.7, "/root/testdata/sf0.1")
+    assert caught >= 0.83 and wrong <= 0.01
+
+
+def test_toxicity_gradient_and_scores_by_loops():
+    """A step of training against finite differences of the noisy-or likelihood, and scores against a plain loop."""
+    sample = [("alpha beta. gamma delta", 1), ("alpha gamma. beta", 0), ("delta delta. epsilon", 1), ("gamma", 0)]
+    model = op5_toxicity.train(sample, bits=10, steps=3, least_docs=1)
+    scorer = op5_toxicity.Scorer(model)
+
+    def plain(text, weights, bias):
+        clean = 1.0
+        for sentence in op5_toxicity.SENTENCE.findall(text):
+            found = {f for w in op5_toxicity.WORD.findall(sentence) for f in op5_toxicity.features(w, 10)}
+            clean *= 1 - 1 / (1 + np.exp(-(sum(weights[f] for f in found) + bias)))
+        return 1 - clean
+
+    for text, _ in sample:
+        assert scorer.document(scorer.sentences(text)[1]) == pytest.approx(plain(text, model.weights.astype(float), model.bias))
+    loss = lambda w, b: -np.mean([np.log(plain(t, w, b) if y else 1 - plain(t, w, b)) for t, y in sample])
+    # Adam's first step goes against the sign of the gradient, by its rate
+    one = op5_toxicity.train(sample, bits=10, steps=1, least_docs=1, shrink=0.0)
+    zero, used = np.zeros(1 << 10), np.flatnonzero(one.weights)
+    assert len(used) > 4
+    for f in used:
+        up, down = zero.copy(), zero.copy()
+        up[f], down[f] = 1e-4, -1e-4
+        assert np.sign(one.weights[f]) == -np.sign(loss(up, -5.0) - loss(down, -5.0))
+    assert np.sign(one.bias + 5.0) == -np.sign(loss(zero, -5.0 + 1e-4) - loss(zero, -5.0 - 1e-4))
+
+
+def test_flagging_keeps_its_budget():
+    rng = random.Random(2)
+    sample = [(" ".join(rng.choice("abcdefgh") for _ in range(6)) + (" horrid" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
+    assert 0.0 <= op5_toxicity.flagging(sample, least_docs=2, steps=60) <= 1.0 and op5_toxicity.flagging([]) == 0.0
+
+
+def test_naive_bayes_by_dictionaries():
+    """Predictions against n-gram counts in dictionaries."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    make = lambda letters: " ".join(word(letters) for _ in range(30)) + " 12, É!"
+    sample = [(lang, make(letters)) for _ in range(12) for lang, letters in (("x", "abcde"), ("y", "cdefg"), ("z", "aegik"))]
+    model, trust = op6_language.train(sample, bits=16, trust=60), 60
+
+    def grams(text):
+        plain = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
+        return [plain[k : k + n] for n in (1, 2, 3) for k in range(len(plain) - n + 1) if plain[k : k + n].strip()]
+
+    counts = {lang: {} for lang in "xyz"}
+    for lang, text in sample:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {lang: sum(c.values()) + 0.5 * (1 << 16) for lang, c in counts.items()}
+    texts = [make(letters) for letters in ("abcde", "cdefg", "aegik", "acdeg")]
+    got, scores = op6_language.predict(model, op6_language.Grams(16), texts)
+    for text, lang, score in zip(texts, got, scores, strict=True):
+        found = grams(text)
+        z = {k: sum(np.log((counts[k].get(g, 0) + 0.5) / total[k]) for g in found) * min(len(found), trust) / len(found) for k in counts}
+        p = {k: np.exp(v - max(z.values())) for k, v in z.items()}
+        assert lang == max(z, key=z.get) and score == pytest.approx(p[lang] / sum(p.values()), rel=0.02)
+
+
+def test_a_long_text_is_scored_in_blocks(monkeypatch):
+    model = op6_language.train([("en", "the house and the garden of the king")] * 5 + [("de", "das haus und der garten des königs")] * 5)
+    texts = ["", "the king", "", "der garten und das haus " * 50, "x", ""]
+    whole = op6_language.predict(model, op6_language.Grams(model.bits), texts)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(op6_language, "SCORE_GRAMS", block)
+        got = op6_language.predict(model, op6_language.Grams(model.bits), texts)
+        assert got[0] == whole[0] and np.allclose(got[1], whole[1])
+
+
+def test_a_dirty_language_column_is_bounded(spark):
+    rows = [(k, f"text of number {k}", f"l{k}") for k in range(60)] + [(100 + k, "the same old words", "en") for k in range(40)] + [(200, None, "en"), (201, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = op6_language.sample_languages(docs, F.lit(True), 1000, 20, 5, 1000)
+    assert len({lang for lang, _ in found}) <= 5 and "en" in {lang for lang, _ in found} and len(found) <= 20
+    assert op6_language.fit(docs.where("lang is null"), F.lit(True)).languages == []
 
 
 def test_held_out_rule(spark):
