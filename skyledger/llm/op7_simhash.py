@@ -44,17 +44,22 @@ STEP_PAIRS, LEAF_ROWS = 1 << 18, 4
 FREE_BITS = 12
 
 
-def simhash(text: bytes, width: int) -> int:
-    """The fingerprint of a text in UTF-8, as an unsigned number."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; of a text of fewer words, that of all of
+    them, and none of a text without a word."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < width:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], dtype="<u8")
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=len(words) - width + 1)
+
+
+def votes_of(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -62,6 +67,11 @@ def simhash(text: bytes, width: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, width: int) -> int:
+    """The fingerprint of a text in UTF-8, as an unsigned number."""
+    return votes_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every whole text. Bytes A-Z
     are lower-cased and words end at ASCII white space, which is what ``bytes`` does."""

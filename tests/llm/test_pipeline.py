@@ -5,7 +5,7 @@ import corpus_pipeline as C
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skyledger.llm import op3_pseudonyms, op6_language, op7_simhash
+from skyledger.llm import near_copies, op3_pseudonyms, op6_language
 from skyledger.llm.chunked_tokens import ChunkEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -29,14 +29,14 @@ def test_stages_one_by_one(spark):
             wrong = [k for k in before if k in marks and (k in after) != (marks[k] == 1)]
             assert len(wrong) <= 0.05 * len(before)
         elif name == "near_copies":
-            fps = {k: op7_simhash.simhash(r["text"].encode(), 4) for k, r in before.items()}
-            group = {k: k for k in fps}
-            for _ in range(len(fps)):
-                new = {k: min(group[j] for j in fps if (fps[j] ^ fps[k]).bit_count() <= 4) for k in fps}
-                if new == group:
-                    break
-                group = new
-            assert set(after) == set(group.values())
+            sets = {k: set(near_copies.shingle_set(r["text"].encode()).tolist()) for k, r in before.items()}
+            group = {k: k for k in sets}
+            for k, x in sets.items():
+                for j, y in sets.items():
+                    if j < k and len(x & y) >= 0.8 * len(x | y) and group[j] != group[k]:
+                        a, b = sorted((group[j], group[k]))
+                        group = {i: a if g == b else g for i, g in group.items()}
+            assert set(after) == set(group.values()) and gone
         else:
             finder = op3_pseudonyms.Finder(op3_pseudonyms.EXAMPLE_KEY)
             assert not gone and all(after[k]["text"] == finder.replace(r["text"])[0] for k, r in before.items())
