@@ -25,6 +25,7 @@ import hashlib
 import heapq
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from skyledger.llm.chunked_tokens import Recent
 from skyledger.llm.common import documents, map_texts, texts_of
 
 MARK = "▁"
+#: What is remembered of a chunk: its ids as text, and as numbers.
+AS_TEXT, NUMBERS = itemgetter(0), itemgetter(1)
 #: Chunks up to this many characters are merged as rows of a matrix, longer ones by the heap.
 ROW_CHARS = 32
 
@@ -277,8 +280,11 @@ def digest_texts(docs: DataFrame, model: str) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             cut, bad = merges.encode(texts_of(batch))
             known = merges.known
-            ids = [[*chain.from_iterable([known[c][1] for c in chunks]), merges.end] for chunks in cut]
-            spelled = [" ".join([*[known[c][0] for c in chunks], str(merges.end)]) for chunks in cut]
+            ids, spelled = [], []
+            for chunks in cut:
+                found = list(map(known.__getitem__, chunks))
+                ids.append([*chain.from_iterable(map(NUMBERS, found)), merges.end])
+                spelled.append(" ".join([*map(AS_TEXT, found), str(merges.end)]))
             decoded = merges.library.decode(ids, num_threads=1)
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             columns = [[len(x) for x in ids], [sha(s) for s in spelled], [sha(s) for s in decoded], bad]
