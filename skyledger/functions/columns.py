@@ -36,6 +36,12 @@ def ym_of(day: str | Column) -> Column:
     return (F.year(col(day)) * 100 + F.month(col(day))).cast("int")
 
 
+def ym_of_text(text: str | Column) -> Column:
+    """The ``YYYYMM`` key of a month written ``YYYY-MM``; null where it is none."""
+    parts = F.regexp_extract(F.trim(col(text)), r"^(\d{4})-(0[1-9]|1[0-2])$", 1), F.regexp_extract(F.trim(col(text)), r"^(\d{4})-(0[1-9]|1[0-2])$", 2)
+    return (F.nullif(parts[0], F.lit("")).cast("int") * 100 + F.nullif(parts[1], F.lit("")).cast("int")).cast("int")
+
+
 def shift_ym(ym: str | Column, months: int | Column) -> Column:
     """A ``YYYYMM`` key moved by whole months."""
     index = month_index(ym) + months

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,19 +16,29 @@ from pyspark.sql import functions as F
 from skyledger.functions.columns import hash_bucket, ratio
 
 
+SCORE_BINS = 1024
+
+
 def binary_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """``n, base_rate, auc, pr_auc, brier``, exact, ties included; areas are null with one class.
 
-    Rows are first added up by distinct score, so the window that runs down the scores sees as
-    many rows as there are scores and not as many as there are predictions.
+    Rows are first added up by distinct score, and scores fall into ``SCORE_BINS`` bins of equal
+    width. A window runs down the few bins, and others down the scores of one bin each, so no task
+    sees all scores.
     """
     keys = by or []
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     y, p = F.col(label).cast("double"), F.col(score).cast("double")
     clipped = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
     steps = rows.groupBy(*keys, p.alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum((clipped - y) * (clipped - y)).alias("err"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    steps = steps.withColumn("_bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS).cast("int"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = steps.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    bins = bins.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("_pos", "_neg")])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    down = Window.partitionBy(*keys, "_bin").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.join(bins, reduce(lambda a, b: a & b, same, F.col("_bin") == F.col("_b")))
+    run = run.withColumns({"tp": F.sum("pos").over(down) + F.col("_pos_above"), "fp": F.sum("neg").over(down) + F.col("_neg_above")})
     total_p, total_n = F.sum("pos"), F.sum("neg")
     # a positive beats the negatives below it and half of those that tie; what was above is fp
     won = F.sum(F.col("pos") * (-F.col("fp") + F.col("neg") / 2))

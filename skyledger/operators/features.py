@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from skyledger.functions.columns import in_scope, minutes_between, month_index, ratio, scoped_delay, shift_ym
 from skyledger.operators.fact import both_sides, label_carriers, months_on_route
 from skyledger.operators.project import MIN_DAY_HOURS, PERCENTILE
+from skyledger.sources.raw import materialised
 
 LATE, LATE_30, KNOWN_BEFORE = 15, 30, 60
 HIGH_SEASON = (1, 7, 12)
 #: Names that a model may never see: targets, and what is known only after departure.
 TARGETS = ("late15_arr", "late30_arr", "arr_delay_min", "late15_dep", "cancelled")
 DIAGNOSTICS = ("is_realized", "has_arr_actual", "has_dep_actual", "actual_time_suspect", "on_time_no_bav", "prev_arr_known_h1")
+#: Columns of legs that no feature or target is made of; rows are sorted without them.
+NOT_FEATURED = ("cause_code", "actual_block_min", "dep_delay_min", "arr_delay_min", "universe_repl", "universe_ml", "line_type", "di", "dow", "dep_hour", "arr_hour", "flight_date", "month")
 HOUR_BEFORE = ("prev_arr_delay_min", "prev_late15", "prev_cancelled")
 
 
@@ -124,6 +127,7 @@ def inbound_leg(legs: DataFrame) -> DataFrame:
     leg that ends where it starts without taking time is nobody's inbound, nor its own.
     """
     key = ["airline", "flight_number", "sched_date"]
+    legs = legs.select(*[c for c in legs.columns if c not in NOT_FEATURED])
     first = legs.withColumn("sched_date", F.to_date("sched_dep"))
     first = first.withColumn("leg_index", F.row_number().over(Window.partitionBy(*key).orderBy("sched_dep", "leg_id")))
     moves = (F.col("origin_icao") != F.col("dest_icao")) | (F.col("sched_arr") > F.col("sched_dep"))
@@ -192,12 +196,14 @@ def build_features(legs: DataFrame, fact: DataFrame, groups: DataFrame, dims: di
 
     ``dims``: ``calendar`` (day ...), ``nodes`` (icao, is_metro), ``slots`` (icao, slot_from_ym) and
     ``distances`` (origin_node, dest_node, distance_km): reference tables whose size hangs on days
-    and airports. They, and the monthly tables, join by equality, and Spark broadcasts those that
-    it measures as small.
+    and airports. They, and the monthly tables, join by equality. The monthly tables are written
+    first, so that Spark knows their sizes when it plans: it broadcasts the small ones, and the legs
+    are not shuffled for them.
     """
     rows = targets_of(flight_rows(legs, groups, last_year))
-    hours, lags = airport_movements(legs), monthly_lags(collapse_fact(fact), last_year)
-    days, limits = daily(hours), p90_of_year_before(hours)
+    hours = materialised(airport_movements(legs), "hours")
+    lags = {n: materialised(df, f"lags-{n}") for n, df in monthly_lags(materialised(collapse_fact(fact), "collapsed"), last_year).items()}
+    days, limits = materialised(daily(hours), "days"), materialised(p90_of_year_before(hours), "limits")
     out = rows.withColumns({"arr_date": F.to_date("sched_arr"), "dep_h": F.hour("sched_dep"), "arr_h": F.hour("sched_arr")})
     out = out.join(dims["calendar"].withColumnRenamed("day", "sched_date"), "sched_date", "left")
     for m, end, day, hour in (("o", "origin", "sched_date", "dep_h"), ("d", "dest", "arr_date", "arr_h")):
@@ -212,7 +218,7 @@ def build_features(legs: DataFrame, fact: DataFrame, groups: DataFrame, dims: di
     out = out.join(lags["route"], ["route", "ym"], "left").join(lags["group"], ["group", "ym"], "left")
     out = out.join(lags["group_route"], ["group", "route", "ym"], "left")
     out = out.join(lags["group_node"].withColumnRenamed("node", "origin_node"), ["group", "origin_node", "ym"], "left")
-    number = flight_number_lag(legs, groups, last_year).select("airline", "flight_number", "ym", F.col("late15").alias("flight_no_late15_l3"), F.col("obs").alias("fn_obs"))
+    number = materialised(flight_number_lag(legs, groups, last_year), "numbers").select("airline", "flight_number", "ym", F.col("late15").alias("flight_no_late15_l3"), F.col("obs").alias("fn_obs"))
     out = out.join(number, ["airline", "flight_number", "ym"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")

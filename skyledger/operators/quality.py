@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -118,14 +118,16 @@ def leakage_report(features: DataFrame, legs: DataFrame, fact: DataFrame, used:
     """One row a check: ``name, passed, detail``."""
     spark = features.sparkSession
     banned = sorted(set(used) & {*TARGETS, *DIAGNOSTICS})
-    early = [c for c in used if c in HOUR_BEFORE]
-    static = [("no outcome among features", not banned, ",".join(banned)), ("hour-before columns are marked", all(c.startswith("prev_") for c in early), ",".join(early))]
+    # what is known of the inbound leg an hour before only, by its name; the eve's list may hold no other such column
+    late = sorted(c for c in used if c.startswith("prev_") and c not in (*HOUR_BEFORE, "prev_leg", "prev_turnaround_min"))
+    static = [("no outcome among features", not banned, ",".join(banned)), ("hour-before columns are marked", not late, ",".join(late))]
     names = spark.createDataFrame(static, "name string, passed boolean, detail string")
+    first_year = features.agg(F.min("year")).first()[0]
     counts = features.agg(
         F.count_if((F.col("prev_leg") == 1) & (F.col("prev_turnaround_min") < 0)).alias("late_inbound"),
         F.count_if((F.col("prev_leg") == 0) & F.col("prev_turnaround_min").isNotNull()).alias("stray_turnaround"),
         F.count_if(F.col("late15_arr").isNotNull() & ~(F.col("is_realized") & ~F.col("actual_time_suspect"))).alias("stray_target"),
-        F.count_if((F.col("year") == 1995) & F.col("origin_p90_hour").isNotNull()).alias("first_year_p90"),
+        F.count_if((F.col("year") == F.lit(first_year)) & F.col("origin_p90_hour").isNotNull()).alias("first_year_p90"),
     )
     rows = F.array(*[F.struct(F.lit(n).alias("name"), (F.col(c) == 0).alias("passed"), F.col(c).cast("string").alias("detail")) for n, c in (
         ("inbound lands before departure", "late_inbound"), ("no turnaround without inbound", "stray_turnaround"),
@@ -157,3 +159,80 @@ def assert_all(report: DataFrame) -> None:
     bad = [f"{r['name']} ({r['detail']})" for r in report.where(~F.col("passed")).collect()]
     if bad:
         raise ValueError("; ".join(bad))
+
+
+def dated_table(table: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """What is wrong with a table of dated carrier labels, a row a rule: columns that it must have,
+    classes that are known, periods that end before they begin, and periods that overlap."""
+    from skyledger.operators.fact import overlapping_periods
+
+    wanted = ("airline", "grp", "cls", "start_ym", "end_ym")
+    if lacking := missing_columns(table, list(wanted)):
+        rows = [("required columns", False, ",".join(lacking))]
+        return table.sparkSession.createDataFrame(rows, "name string, passed boolean, detail string")
+    counts = table.agg(
+        F.count_if(F.col("airline").isNull() | F.col("grp").isNull()).alias("labels are there"),
+        F.count_if(~F.coalesce(F.col("cls").isin(*classes), F.lit(False))).alias("classes are known"),
+        F.count_if(F.col("start_ym") > F.col("end_ym")).alias("periods begin before they end"),
+    )
+    plain = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("n")) for c in counts.columns])).alias("r")).select("r.*")
+    overlaps = overlapping_periods(table).agg(F.count(F.lit(1)).alias("n")).select(F.lit("periods do not overlap").alias("name"), "n")
+    return plain.unionByName(overlaps).select("name", (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("detail"))
+
+
+def code_differences(table: DataFrame, declared: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Codes of a code table (``category, code``) and of the declared categories that only one of them
+    has: ``category, code, only_in``."""
+    have = table.select("category", "code").distinct()
+    want = table.sparkSession.createDataFrame([(k, c) for k, codes in declared.items() for c in codes], "category string, code string")
+    extra = have.join(want, ["category", "code"], "left_anti").withColumn("only_in", F.lit("table"))
+    return extra.unionByName(want.join(have, ["category", "code"], "left_anti").withColumn("only_in", F.lit("declared")))
+
+
+def coverage(legs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Listed airports that legs touch, listed ones that they do not, and airports that no list has:
+    ``kind, n_airports, n_movements``. ``nodes`` has ``icao``."""
+    touched = legs.select(F.explode(F.array("origin_icao", "dest_icao")).alias("icao")).where("icao is not null").groupBy("icao").agg(F.count(F.lit(1)).alias("n"))
+    listed = nodes.select("icao").distinct()
+    kinds = (("listed and flown", touched.join(listed, "icao", "left_semi")), ("flown, not listed", touched.join(listed, "icao", "left_anti")), ("listed, not flown", listed.join(touched, "icao", "left_anti").withColumn("n", F.lit(0).cast("long"))))
+    parts = [df.agg(F.count(F.lit(1)).alias("n_airports"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_movements")).select(F.lit(k).alias("kind"), "n_airports", "n_movements") for k, df in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def population(legs: DataFrame, last_year: int) -> DataFrame:
+    """What becomes of each year's legs on the way to a model's rows, and the rows of legacy years whose
+    empty times count as on time; needs ``class``. The years' sum is the row of the null year."""
+    universe, flown = F.col("universe_repl"), F.col("universe_repl") & F.col("is_realized")
+    usable = universe & F.col("sched_dep").isNotNull() & F.col("sched_arr").isNotNull()
+    blank = flown & F.col("actual_arr").isNull()
+    counts = {
+        "n_legs": F.count(F.lit(1)), "n_universe": F.count_if(universe), "n_unusable_schedule": F.count_if(universe & ~usable), "n_realized": F.count_if(flown),
+        "n_null_arrival": F.count_if(blank), "n_on_time_by_reading": F.count_if(blank & (F.col("year") <= last_year) & F.col("class").isin("FSC", "LCC", "regional")),
+        "n_suspect": F.count_if(flown & F.col("actual_time_suspect")), "n_with_target": F.count_if(flown & F.col("arr_delay_min").isNotNull() & ~F.col("actual_time_suspect")),
+    }
+    return legs.rollup("year").agg(*[c.alias(n) for n, c in counts.items()])
+
+
+def capacity_in_force(movements: DataFrame, declared: DataFrame) -> DataFrame:
+    """Hours of each airport and month against the capacity declared for it: the latest declaration
+    (``icao, from_day, per_hour``) not after the day. Days before the first one have none and are left out.
+
+    Declarations become spans of days, so a day meets one of them by a range, and airports are few rows each."""
+    span = Window.partitionBy("icao").orderBy("from_day")
+    spans = declared.withColumn("to_day", F.lead("from_day").over(span)).select(F.col("icao").alias("_icao"), "from_day", "to_day", "per_hour")
+    inside = (F.col("icao") == F.col("_icao")) & (F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
+    met = movements.join(spans, inside).withColumn("ym", F.year("day") * 100 + F.month("day"))
+    out = met.groupBy("icao", "ym", "per_hour").agg(F.count(F.lit(1)).alias("n_hours"), F.count_if(F.col("movements") >= F.col("per_hour")).alias("n_full"), F.sum("movements").alias("movements"))
+    return out.withColumn("sh_full", ratio("n_full", "n_hours"))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows and the nulls of its columns as it is written, and what holds the
+    counts afterwards: no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in df.columns]), seen
+
+
+def metrics_rows(spark: SparkSession, table: str, seen: Observation) -> DataFrame:
+    """The counts of an observed table that was written, as ``table, metric, value``."""
+    return spark.createDataFrame([(table, k, int(v)) for k, v in sorted(seen.get.items())], "table string, metric string, value long")

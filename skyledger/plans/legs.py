@@ -17,6 +17,9 @@ METRO = {"N00": "M1", "N01": "M1", "N02": "M1", "N03": "M2", "N04": "M2"}
 LAST_LEGACY_YEAR, YEARS = 1998, tuple(range(1995, 2002))
 LCC_GROUPS, FSC_GROUPS, CLASSES = ("G1",), ("G0", "G2"), ("FSC", "LCC", "regional", "other")
 PRESENCE = {"pres_glo": ("G1",), "pres_azu": ("G3",), "pres_tam": ("G2",), "lcc": LCC_GROUPS}
+#: Months of the estimation's window, and capacities by the hour that airports declare from a day on; both invented for the given tables.
+WINDOW = (199601, 199912)
+CAPACITY = [("N00", "1995-01-01", 2), ("N00", "1997-06-15", 3), ("N03", "1996-03-01", 2), ("N08", "2099-01-01", 9)]
 PANEL_NODES = ("M1", "M2", "N05", "N06", "N07")
 
 LEGS = """

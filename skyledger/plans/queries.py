@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import columns as C
+from skyledger.functions import measures as M
 from skyledger.operators import evaluate as E
 from skyledger.operators import fact as A
 from skyledger.operators import features as X
@@ -16,6 +17,7 @@ from skyledger.operators import project as J
 from skyledger.operators import quality as Q
 from skyledger.operators import regress as R
 from skyledger.plans import legs as L
+from skyledger.plans import views as V
 from skyledger.sources import raw as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,14 +188,138 @@ def _distances(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "origin_node string, dest_node string, distance_km double")
 
 
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    def make() -> DataFrame:
+        legs, fact = L.legs(spark, sf), _panel_fact(spark, sf)
+        city = J.city_month(fact, A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES)
+        return P.assemble_panel(fact, A.route_month_context(legs), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, classes=L.CLASSES, wanted=L.PRESENCE)
+
+    return L.written_once(spark, sf, "panel", make)
+
+
 @query
 def panel_route_month(spark, sf):
-    legs, fact = L.legs(spark, sf), _panel_fact(spark, sf)
-    city = J.city_month(fact, A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES)
-    panel = P.assemble_panel(fact, A.route_month_context(legs), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, classes=L.CLASSES, wanted=L.PRESENCE)
     keep = ("f", "fl_real", "fl_can", "fl_odel", "fl_ddel", "ndays", "dailyfl", "prcanc", "all_minsarr", "fsc_prdelarr", "fscc_minsdep", "lccfu_f", "lcc", "n_rows_all", "arr_delay_p90_min",
             "sh_extra", "o_movements", "d_movements", "maxalccfu", "maxcthhi_flights", "gmchhi_flights", "maxcongested", "maxprdel_proxy", "distance_km")
-    return rounded(panel.select("ym", "route", *keep))
+    return rounded(_panel(spark, sf).select("ym", "route", *keep))
+
+
+@query
+def estimation_panel(spark, sf):
+    """The columns that the estimation may read, of the months of its window."""
+    return rounded(P.in_sample(V.allowed(_panel(spark, sf), V.ESTIMATION), *L.WINDOW))
+
+
+@query
+def slim_fact(spark, sf):
+    return rounded(V.slim_fact(_fact(spark, sf)))
+
+
+def _references(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Reference tables out of the legs and the fixed values, kept as CSV and scanned from there."""
+    legs = L.legs(spark, sf)
+    airports = legs.select(F.explode(F.array(F.struct(F.col("origin_icao").alias("icao"), F.col("origin_node").alias("node")), F.struct(F.col("dest_icao").alias("icao"), F.col("dest_node").alias("node")))).alias("s")).select("s.*").distinct()
+    spans = A.label_carriers(legs, L.groups(spark)).groupBy("airline", F.col("group").alias("grp"), F.col("class").alias("cls")).agg(F.min("ym").alias("start_ym"), F.max("ym").alias("end_ym"))
+    codes = spark.createDataFrame([(c, k) for k, v in M.CATEGORIES.items() for c in v], "code string, category string")
+    tables = {
+        "groups": (spans, "airline string, grp string, cls string, start_ym int, end_ym int"), "cause_codes": (codes, "code string, category string"),
+        "nodes": (airports, "icao string, node string"), "distances": (_distances(spark), "origin_node string, dest_node string, distance_km double"),
+    }
+    out = {}
+    for name, (df, schema) in tables.items():
+        path = S.scratch_path(spark, f"reference-{name}")
+        df.coalesce(1).write.option("header", True).csv(path)  # some dozens of rows
+        out[name] = S.scan_reference(spark, path, schema)
+    return out
+
+
+@query
+def reference_groups(spark, sf):
+    return _references(spark, sf)["groups"]
+
+
+@query
+def dated_contract(spark, sf):
+    """The contract of dated labels on the carriers' observed spans, which overlap where a label comes back."""
+    return Q.dated_table(_references(spark, sf)["groups"], L.CLASSES)
+
+
+@query
+def code_differences(spark, sf):
+    """Codes that the legs have and no category declares, and the other way round."""
+    legs = L.legs(spark, sf).where("cause_code is not null").select(F.col("cause_code").alias("code")).distinct()
+    table = legs.join(F.broadcast(_references(spark, sf)["cause_codes"]), "code", "left").withColumn("category", F.coalesce("category", F.lit("none")))
+    return Q.code_differences(table, M.CATEGORIES)
+
+
+def _views(spark: SparkSession, sf: str) -> list[str]:
+    fact = _fact(spark, sf)
+    city = J.city_month(fact, A.node_day_hour(L.legs(spark, sf)), L.LCC_GROUPS, L.CLASSES)
+    airline_city = J.add_hub(J.city_sums(fact, with_group=True))
+    return V.register(spark, L.legs(spark, sf), fact, _panel(spark, sf), city, airline_city, _references(spark, sf), L.WINDOW)
+
+
+@query
+def view_rows(spark, sf):
+    """Every view by name and how many rows it has, asked for in SQL."""
+    names = _views(spark, sf)
+    return spark.sql(" union all ".join(f"select '{n}' as view, count(*) as n_rows from {n}" for n in names))
+
+
+@query
+def view_route_month(spark, sf):
+    _views(spark, sf)
+    return rounded(spark.sql("select * from v_route_month join v_route_hhi using (ym, route)"))
+
+
+@query
+def view_city_month(spark, sf):
+    _views(spark, sf)
+    return rounded(spark.sql("select * from v_city_month"))
+
+
+@query
+def view_hubs(spark, sf):
+    _views(spark, sf)
+    return rounded(spark.sql("select * from v_hubs"))
+
+
+@query
+def population_accounting(spark, sf):
+    return Q.population(A.label_carriers(L.legs(spark, sf), L.groups(spark)), L.LAST_LEGACY_YEAR)
+
+
+@query
+def airport_coverage(spark, sf):
+    listed = spark.createDataFrame([(f"N0{k}",) for k in range(7)] + [("N77",)], "icao string")
+    return Q.coverage(L.legs(spark, sf), listed)
+
+
+@query
+def capacity_in_force(spark, sf):
+    declared = spark.createDataFrame(L.CAPACITY, "icao string, from_day string, per_hour int").withColumn("from_day", F.to_date("from_day"))
+    return rounded(Q.capacity_in_force(X.airport_movements(L.legs(spark, sf)), declared))
+
+
+@query
+def routes_dropped(spark, sf):
+    """Routes of carriers flown in a year and not in the next one."""
+    flown = L.legs(spark, sf).where("universe_repl and year is not null").select("airline", "route", "year").distinct()
+    return flown.exceptAll(flown.withColumn("year", F.col("year") - 1)).where(F.col("year") < max(L.YEARS))
+
+
+@query
+def month_key_from_text(spark, sf):
+    text = F.when(F.col("flight_number") == 0, F.date_format("flight_date", "yyyy-MM")).when(F.col("flight_number") == 1, F.concat(F.lit(" "), F.date_format("flight_date", "yyyy-MM"))).otherwise(F.date_format("flight_date", "yyyy/MM"))
+    return L.legs(spark, sf).select(C.ym_of_text(text).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def run_metrics(spark, sf):
+    """Counts taken while a table is written."""
+    table, seen = Q.observed(L.legs(spark, sf).select("leg_id", "route", "cause_code", "actual_dep", "actual_arr", "arr_delay_min"), "legs")
+    S.materialised(table, "observed")
+    return Q.metrics_rows(spark, "legs", seen)
 
 
 @query

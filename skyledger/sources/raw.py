@@ -122,6 +122,16 @@ def read_staged(spark: SparkSession, path: str, years: tuple[int, ...] | None =
     return out.where(F.col("year").isin(*years)) if years else out
 
 
+def scan_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A reference table kept as CSV with a header: columns by name, whatever their order in the file
+    and whatever others it has; an empty field is null. A column that the file lacks is an error."""
+    text = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    wanted = StructType.fromDDL(schema)
+    if lacking := [f.name for f in wanted if f.name not in text.columns]:
+        raise ValueError(f"{path}: no column {', '.join(lacking)}")
+    return text.select(*[F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).try_cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names; where that is unset, a local
     one if driver and executors are one process, else an error."""
