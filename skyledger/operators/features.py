@@ -191,38 +191,53 @@ def route_kind(shuttles: tuple[str, ...]) -> Column:
     )
 
 
+def airport_hours(legs: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """A written table of each airport's hours: movements of the hour (``mh``) and of the day (``md``),
+    the percentile of the year before (``p90``), and what the reference tables say of the airport.
+    Every leg's own hours are among them."""
+    hours = materialised(airport_movements(legs), "hours")
+    days, limits = daily(hours).withColumnRenamed("movements", "md"), p90_of_year_before(hours).select("icao", "year", F.col("threshold").alias("p90"))
+    airports = dims["nodes"].select("icao", F.col("is_metro").alias("metro"), F.lit(True).alias("known")).join(dims["slots"].select("icao", F.col("slot_from_ym").alias("slot")), "icao", "full")
+    out = hours.withColumnRenamed("movements", "mh").join(days, ["year", "icao", "day"]).join(limits, ["year", "icao"], "left").join(airports, "icao", "left")
+    return materialised(out, "airport-hours")
+
+
+def months_of_routes(fact: DataFrame, distances: DataFrame, last_year: int) -> DataFrame:
+    """A written table of the fact's groups, routes and months with the rates of the month before each,
+    by all the keys of ``monthly_lags``."""
+    whole = materialised(collapse_fact(fact), "collapsed")
+    lags = monthly_lags(whole, last_year)
+    out = whole.select("group", "route", "origin_node", "dest_node", "ym").distinct()
+    for m, node in (("o", "origin_node"), ("d", "dest_node")):
+        out = out.join(lags["node"].select(F.col("node").alias(node), "ym", *[F.col(c).alias(f"{m}_{c}") for c in lags["node"].columns if c not in ("node", "ym")]), [node, "ym"], "left")
+    out = out.join(distances, ["origin_node", "dest_node"], "left").join(lags["route"], ["route", "ym"], "left").join(lags["group"], ["group", "ym"], "left")
+    out = out.join(lags["group_route"], ["group", "route", "ym"], "left").join(lags["group_node"].withColumnRenamed("node", "origin_node"), ["group", "origin_node", "ym"], "left")
+    return materialised(out, "months")
+
+
 def build_features(legs: DataFrame, fact: DataFrame, groups: DataFrame, dims: dict[str, DataFrame], last_year: int, shuttles: tuple[str, ...] = ()) -> DataFrame:
     """The feature table, one row a schedulable leg.
 
     ``dims``: ``calendar`` (day ...), ``nodes`` (icao, is_metro), ``slots`` (icao, slot_from_ym) and
     ``distances`` (origin_node, dest_node, distance_km): reference tables whose size hangs on days
-    and airports. They, and the monthly tables, join by equality. The monthly tables are written
-    first, so that Spark knows their sizes when it plans: it broadcasts the small ones, and the legs
-    are not shuffled for them.
+    and airports. What hangs on an airport's hour, and what hangs on a group, route and month, is
+    gathered in one table each, at that small grain, so legs meet few tables and each by equality.
+    Those tables are written first, so that Spark knows their sizes when it plans: it broadcasts the
+    small ones, and the legs are not shuffled for them.
     """
     rows = targets_of(flight_rows(legs, groups, last_year))
-    hours = materialised(airport_movements(legs), "hours")
-    lags = {n: materialised(df, f"lags-{n}") for n, df in monthly_lags(materialised(collapse_fact(fact), "collapsed"), last_year).items()}
-    days, limits = materialised(daily(hours), "days"), materialised(p90_of_year_before(hours), "limits")
+    hours, months = airport_hours(legs, dims), months_of_routes(fact, dims["distances"], last_year)
+    number = flight_number_lag(legs, groups, last_year).select("airline", "flight_number", "ym", F.col("late15").alias("flight_no_late15_l3"), F.col("obs").alias("fn_obs"))
     out = rows.withColumns({"arr_date": F.to_date("sched_arr"), "dep_h": F.hour("sched_dep"), "arr_h": F.hour("sched_arr")})
-    out = out.join(dims["calendar"].withColumnRenamed("day", "sched_date"), "sched_date", "left")
+    out = out.join(materialised(dims["calendar"], "calendar").withColumnRenamed("day", "sched_date"), "sched_date", "left")
     for m, end, day, hour in (("o", "origin", "sched_date", "dep_h"), ("d", "dest", "arr_date", "arr_h")):
-        icao, node = f"{end}_icao", f"{end}_node"
-        out = out.join(dims["nodes"].select(F.col("icao").alias(icao), F.col("is_metro").alias(f"{m}_metro"), F.lit(True).alias(f"{m}_node_known")), icao, "left")
-        out = out.join(dims["slots"].select(F.col("icao").alias(icao), F.col("slot_from_ym").alias(f"{m}_slot")), icao, "left")
-        out = out.join(hours.select("year", F.col("icao").alias(icao), F.col("day").alias(day), F.col("hour").alias(hour), F.col("movements").alias(f"{m}_mh")), ["year", icao, day, hour], "left")
-        out = out.join(days.select("year", F.col("icao").alias(icao), F.col("day").alias(day), F.col("movements").alias(f"{m}_md")), ["year", icao, day], "left")
-        out = out.join(limits.select("year", F.col("icao").alias(icao), F.col("threshold").alias(f"{m}_p90")), ["year", icao], "left")
-        out = out.join(lags["node"].select(F.col("node").alias(node), "ym", *[F.col(c).alias(f"{m}_{c}") for c in lags["node"].columns if c not in ("node", "ym")]), [node, "ym"], "left")
-    out = out.join(dims["distances"], ["origin_node", "dest_node"], "left")
-    out = out.join(lags["route"], ["route", "ym"], "left").join(lags["group"], ["group", "ym"], "left")
-    out = out.join(lags["group_route"], ["group", "route", "ym"], "left")
-    out = out.join(lags["group_node"].withColumnRenamed("node", "origin_node"), ["group", "origin_node", "ym"], "left")
-    number = materialised(flight_number_lag(legs, groups, last_year), "numbers").select("airline", "flight_number", "ym", F.col("late15").alias("flight_no_late15_l3"), F.col("obs").alias("fn_obs"))
-    out = out.join(number, ["airline", "flight_number", "ym"], "left")
+        here = hours.select("year", F.col("icao").alias(f"{end}_icao"), F.col("day").alias(day), F.col("hour").alias(hour), *[F.col(c).alias(f"{m}_{c}") for c in ("mh", "md", "p90", "metro", "known", "slot")])
+        out = out.join(here, ["year", f"{end}_icao", day, hour], "left")
+    out = out.join(months.drop("origin_node", "dest_node"), ["group", "route", "ym"], "left")
+    out = out.join(materialised(number, "numbers"), ["airline", "flight_number", "ym"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    out = out.withColumns({"origin_metro": zero("o_metro"), "dest_metro": zero("d_metro"), "o_known": F.col("o_node_known").isNotNull(), "d_known": F.col("d_node_known").isNotNull()})
+    out = out.withColumns({"origin_metro": zero("o_metro"), "dest_metro": zero("d_metro"), "o_known": F.col("o_known").isNotNull(), "d_known": F.col("d_known").isNotNull()})
     return out.select(
         "leg_id", F.col("sched_date").alias("flight_date"), F.year("sched_date").alias("year"), (F.year("sched_date") * 100 + F.month("sched_date")).alias("ym"),
         "flight_number", "route", F.month("sched_date").alias("month"), F.weekday("sched_date").alias("dow"), (F.weekday("sched_date") >= 5).cast("int").alias("is_weekend"),

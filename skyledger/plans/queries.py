@@ -191,8 +191,9 @@ def _distances(spark: SparkSession) -> DataFrame:
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
     def make() -> DataFrame:
         legs, fact = L.legs(spark, sf), _panel_fact(spark, sf)
-        city = J.city_month(fact, A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES)
-        return P.assemble_panel(fact, A.route_month_context(legs), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, classes=L.CLASSES, wanted=L.PRESENCE)
+        # the city stands at both ends of a route, and is made once
+        city = S.materialised(J.city_month(fact, A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES), "city")
+        return P.assemble_panel(fact, S.materialised(A.route_month_context(legs), "context"), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, classes=L.CLASSES, wanted=L.PRESENCE)
 
     return L.written_once(spark, sf, "panel", make)
 
