@@ -114,7 +114,7 @@ def train(sample: list[tuple[str, int]], bits: int = 18, steps: int = 200, rate:
     return Model(w.astype(np.float32), float(b), bits)
 
 
-def flagging(sample: list[tuple[str, int]], cut: float = 0.7, false_alarms: float = 0.005, most: float = 1.0, **params) -> float:
+def flagging(sample: list[tuple[str, int]], cut: float = 0.7, false_alarms: float = 0.01, most: float = 1.0, **params) -> float:
     """What to add to the bias, 0 to ``most``: the most at which at most ``false_alarms`` of the clean
     documents score ``cut`` or more under a model of the sample's other half."""
     raises = np.linspace(0.0, most, 21)
