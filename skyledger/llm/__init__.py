@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import op1_planes, op2_packing, op3_pseudonyms, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality, op9_flac, op10_divergence, op13_winnowing
+from skyledger.llm import op1_planes, op2_packing, op3_pseudonyms, op4_sentencepiece, op5_toxicity, op6_language, op7_simhash, op8_quality, op9_flac, op10_divergence, op11_whitening, op12_prefix_trie, op13_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_planes.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_field": op8_quality.query,
     "op9_flac": op9_flac.query,
     "op10_divergence": op10_divergence.query,
+    "op11_whitening": op11_whitening.query,
+    "op12_prefix_trie": op12_prefix_trie.query,
     "op13_winnowing": op13_winnowing.query,
 }
 
