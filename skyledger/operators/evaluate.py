@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,10 +9,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import hash_bucket, ratio
+from skyledger.operators import boost
+from skyledger.sources.raw import materialised
 
 
 SCORE_BINS = 1024
@@ -21,17 +22,21 @@ SCORE_BINS = 1024
 
 def binary_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """``n, base_rate, auc, pr_auc, brier``, exact, ties included; areas are null with one class.
-
-    Rows are first added up by distinct score, and scores fall into ``SCORE_BINS`` bins of equal
-    width. A window runs down the few bins, and others down the scores of one bin each, so no task
-    sees all scores.
-    """
+    Rows are first added up by distinct score."""
     keys = by or []
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    y, p = F.col(label).cast("double"), F.col(score).cast("double")
-    clipped = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-    steps = rows.groupBy(*keys, p.alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum((clipped - y) * (clipped - y)).alias("err"))
-    steps = steps.withColumn("_bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS).cast("int"))
+    y = F.col(label).cast("double")
+    return metrics_of_counts(rows.groupBy(*keys, F.col(score).cast("double").alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")), keys)
+
+
+def metrics_of_counts(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of ``steps``: for each score ``p``, once by ``keys``, how many of either class have it.
+
+    Scores fall into ``SCORE_BINS`` bins of equal width. A window runs down the few bins, and others
+    down the scores of one bin each, so no task sees all scores.
+    """
+    clipped = F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0))
+    steps = steps.withColumns({"err": F.col("pos") * (1 - clipped) * (1 - clipped) + F.col("neg") * clipped * clipped, "_bin": F.floor(clipped * SCORE_BINS).cast("int")})
     above = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = steps.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     bins = bins.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("_pos", "_neg")])
@@ -141,62 +146,47 @@ def predict(model, df: DataFrame, label: str, numeric: list[str]) -> DataFrame:
     return model.transform(prepared(df, label, numeric)).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "prediction")
 
 
-def gain_importance(model, numeric: list[str], categorical: list[str]) -> list[tuple[str, float]]:
-    """Importance by feature, an indicator of nulls counted with its number; greatest first."""
-    names = [*categorical, *numeric, *numeric]
-    total: dict[str, float] = {}
-    for name, value in zip(names, model.stages[-1].featureImportances.toArray(), strict=True):
-        total[name] = total.get(name, 0.0) + float(value)
-    return sorted(total.items(), key=lambda x: -x[1])
-
-
-#: Rows that ``permutation_importance`` permutes among each other.
-GROUP_ROWS = 1024
-
-
-def permuted(df: DataFrame, column: str, seed: int, block: int = 4096) -> DataFrame:
-    """``df`` with one column dealt anew. Rows are hashed into groups and two orders within each
-    group are joined, so that no task sorts the whole table."""
-    n_groups = F.pmod(F.xxhash64("leg_id"), F.lit(block))
-    a, b = (Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed + k), "leg_id"), "leg_id") for k in (0, 1))
-    left = df.withColumn("_g", n_groups).withColumn("_i", F.row_number().over(a)).drop(column)
-    right = df.select("leg_id", column).withColumn("_g", n_groups).withColumn("_i", F.row_number().over(b)).select("_g", "_i", column)
-    return left.join(right, ["_g", "_i"]).drop("_g", "_i")
-
-
-def permutation_importance(model, test: DataFrame, label: str, numeric: list[str], categorical: list[str], columns: list[str], repeats: int = 3, block: int | None = None) -> DataFrame:
-    """The fall of the area under the curve as each column is permuted, its mean and deviation over
-    the repeats; one row a column. ``block`` groups are permuted, by default of about ``GROUP_ROWS`` rows each."""
-    spark = test.sparkSession
-    area = lambda df: binary_metrics(predict(model, df, label, numeric), label, "p").first()["auc"] or 0.0
-    block = block or max(1, round(test.count() / GROUP_ROWS))
-    base = area(test)
-    out = []
-    for c in columns:
-        drops = [base - area(permuted(test, c, 100 * r, block)) for r in range(repeats)]
-        mean = sum(drops) / repeats
-        out.append((c, float(mean), math.sqrt(sum((d - mean) ** 2 for d in drops) / repeats)))
-    return spark.createDataFrame(out, "feature string, auc_drop double, auc_drop_sd double")
-
-
-def rolling_metrics(rows: DataFrame, folds: list[Fold], targets: list[str], horizons: dict[str, list[str]], categorical: list[str], **params) -> DataFrame:
-    """Metrics on the test years of a model for each fold, target and horizon (a list of features,
-    ``categorical`` among them); one row each."""
-    out: list[tuple] = []
-    for fold in folds:
-        for target in targets:
-            for horizon, features in horizons.items():
-                numeric = [c for c in features if c not in categorical]
-                model = fit(fold.part(rows, "train"), fold.part(rows, "valid"), target, numeric, categorical, **params)
-                found = binary_metrics(predict(model, fold.part(rows, "test"), target, numeric), target, "p").collect()
-                out += [(fold.name, target, horizon, *r) for r in found]
-    return rows.sparkSession.createDataFrame(out, "fold string, target string, horizon string, n long, base_rate double, auc double, pr_auc double, brier double")
+def gain_importance(spark: SparkSession, blocks: boost.Blocks, trees: dict[int, list[boost.Tree]]) -> DataFrame:
+    """``fold, target, horizon, feature, gain, rank``: the summed gains of each feature's splits, greatest first."""
+    found = spark.createDataFrame(boost.gains(blocks, trees), "fold string, target string, horizon string, feature string, gain double")
+    rank = F.row_number().over(Window.partitionBy("fold", "target", "horizon").orderBy(F.desc("gain"), "feature"))
+    return found.withColumn("rank", rank).orderBy("fold", "target", "horizon", "rank")
+
+
+def permutation_importance(blocks: boost.Blocks, trees: dict[int, list[boost.Tree]], repeats: int = 3, seed: int = 0) -> DataFrame:
+    """``target, horizon, feature, auc_drop, auc_drop_sd``: the fall of the area under the curve on the
+    test rows as a feature is permuted, its mean and deviation over the repeats, greatest first. All
+    features and repeats are one pass over the rows; a feature that no tree uses has no fall."""
+    spark, named = blocks.rows.sparkSession, blocks.models()
+    keys = ["target", "horizon", "feature", "repeat"]
+    counts = boost.permuted_counts(blocks, trees, repeats, seed).groupBy(*keys, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    areas = materialised(metrics_of_counts(counts, keys).select(*keys, "auc"), "areas")  # a row for each feature and repeat
+    base = areas.where("feature = ''").select("target", "horizon", F.col("auc").alias("base"))
+    drops = areas.where("feature <> ''").join(base, ["target", "horizon"]).groupBy("target", "horizon", "feature").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base") - F.col("auc")).alias("auc_drop_sd"))
+    all_ = spark.createDataFrame([(*named[m][1:], blocks.features[f]) for m in trees for f in blocks.columns(m)], "target string, horizon string, feature string")
+    zero = F.lit(0.0)
+    found = all_.join(drops, ["target", "horizon", "feature"], "left").withColumns({c: F.coalesce(c, zero) for c in ("auc_drop", "auc_drop_sd")})
+    return found.orderBy("target", "horizon", F.desc("auc_drop"), "feature")
+
+
+def rolling_scores(rows: DataFrame, folds: list[Fold], targets: list[str], horizons: dict[str, list[str]], categorical: list[str], settings: boost.Settings | None = None) -> DataFrame:
+    """``fold, target, horizon, id, y, p`` of the test rows of every fold under boosted trees for every
+    target and horizon (a list of features, ``categorical`` among them), grown together."""
+    settings = settings or boost.Settings()
+    blocks = boost.binned(rows, folds, targets, horizons, categorical, settings)
+    return boost.scores(blocks, boost.boost(blocks, settings))
+
+
+def rolling_metrics(scored: DataFrame) -> DataFrame:
+    """The metrics of each fold, target and horizon of ``rolling_scores``."""
+    return binary_metrics(scored, "y", "p", ["fold", "target", "horizon"])
 
 
 def fold_summary(results: DataFrame) -> DataFrame:
-    """Least, median and greatest of each metric over folds."""
+    """Least, median and greatest of each metric over the folds of a target and horizon."""
     metrics = ("auc", "pr_auc", "brier")
-    return results.groupBy("horizon").agg(*[f.alias(f"{n}_{m}") for m in metrics for n, f in (("min", F.min(m)), ("median", F.percentile(m, F.lit(0.5))), ("max", F.max(m)))])
+    least = [f.alias(f"{n}_{m}") for m in metrics for n, f in (("min", F.min(m)), ("median", F.percentile(m, F.lit(0.5))), ("max", F.max(m)))]
+    return results.groupBy("target", "horizon").agg(F.count(F.lit(1)).alias("folds"), *least)
 
 
 def scorecard(rows: DataFrame) -> DataFrame:

@@ -71,6 +71,22 @@ def route_month_context(legs: DataFrame, threshold: float = OUTLIER_MIN, empty_m
     return rows.groupBy(*ROUTE_KEYS).agg(*out)
 
 
+def delay_counts(legs: DataFrame, keys: tuple[str, ...] = ROUTE_KEYS, threshold: float = OUTLIER_MIN, empty_means_on_time: bool = True) -> DataFrame:
+    """How many realised universe legs of ``keys`` have which delay: ``side, delay, n``. These counts add
+    up, and so the order statistics of any coarser key follow from them without the legs."""
+    rows = legs.where(F.col("route").isNotNull() & F.col("ym").isNotNull() & F.col("universe_repl") & F.col("is_realized"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), effective_delay(s, empty_means_on_time).cast("double").alias("delay")) for s in ("dep", "arr")])
+    long = rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*").where(within("delay", threshold))
+    return long.groupBy(*keys, "side", "delay").agg(F.count(F.lit(1)).alias("n"))
+
+
+def delay_percentiles(counts: DataFrame, keys: list[str], levels: tuple[tuple[str, float], ...] = (("median", 0.5), ("p90", 0.9))) -> DataFrame:
+    """Exact percentiles of both sides by ``keys``, out of counts by any finer keys."""
+    merged = counts.groupBy(*keys, "side", "delay").agg(F.sum("n").alias("n"))
+    of = lambda side, q: F.percentile(F.when(F.col("side") == side, F.col("delay")), F.lit(q), F.col("n"))
+    return merged.groupBy(*keys).agg(*[F.sum(F.when(F.col("side") == s, F.col("n"))).alias(f"{s}_n") for s in ("dep", "arr")], *[of(s, q).alias(f"{s}_delay_{name}_min") for s in ("dep", "arr") for name, q in levels])
+
+
 def both_sides(legs: DataFrame, *columns: str, place: str = "node") -> DataFrame:
     """A row for the departure and one for the arrival of each leg, with ``place``, ``hour`` and
     ``columns``. A leg is read once."""

@@ -88,15 +88,25 @@ _WRITTEN: dict[tuple, DataFrame] = {}
 
 def written_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``make`` gives, written when it is first asked for and read from then on, as
-    long as the input files are the same (path, time and size). Every step after it starts from files."""
+    long as the input files are the same (path, time and size) and the table still stands. Every step
+    after it starts from files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{sf_dir}/{t}.parquet" for t in TABLES])
     state = frozenset(files.select("path", "modificationTime", "length").collect())  # a row for each file
     key = (spark.sparkContext.applicationId, name, state)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not _stands(spark, _WRITTEN[key]):
         _WRITTEN[key] = materialised(make(), name)
     return _WRITTEN[key]
 
 
+def _stands(spark: SparkSession, table: DataFrame) -> bool:
+    """Whether the files of a written table are still there; an empty one is made anew."""
+    files = table.inputFiles()
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def computed_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legs, with ``dow`` (Monday is 0). A small table that comes as fewer splits than there are
     cores is spread over them first."""

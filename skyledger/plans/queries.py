@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import columns as C
 from skyledger.functions import measures as M
+from skyledger.operators import boost
 from skyledger.operators import evaluate as E
 from skyledger.operators import fact as A
 from skyledger.operators import features as X
+from skyledger.operators import increment as I
 from skyledger.operators import panel as P
 from skyledger.operators import project as J
 from skyledger.operators import quality as Q
@@ -58,6 +60,7 @@ def _monthly(spark: SparkSession, sf: str) -> DataFrame:
     out = rows.groupBy(F.col("route").alias("od"), "ym").agg(
         F.avg("arr_delay_min").alias("y"), F.avg("dep_delay_min").alias("x"), F.count(F.lit(1)).cast("double").alias("w"),
         F.avg((F.col("dep_hour") >= 12).cast("double")).alias("z1"), F.avg("sched_block_min").alias("z2"), F.avg((F.col("cause_code") == "AR").cast("double")).alias("z3"),
+        F.avg((F.col("arr_delay_min") > 15).cast("double")).alias("y2"), F.avg((F.col("dep_delay_min") > 15).cast("double")).alias("x2"), F.avg((F.col("dow") >= 5).cast("double")).alias("z4"), F.avg(F.col("flight_number").cast("double")).alias("z5"),
     )
     # the estimators pass over it several times
     return S.materialised(out.withColumns({"t": C.month_index("ym"), "z3": F.coalesce("z3", F.lit(0.0))}), "monthly")
@@ -119,6 +122,38 @@ def route_month_context(spark, sf):
     return rounded(A.route_month_context(L.legs(spark, sf)))
 
 
+def _delay_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return L.written_once(spark, sf, "delay_counts", lambda: A.delay_counts(L.legs(spark, sf)))
+
+
+@query
+def route_year_percentiles(spark, sf):
+    """Percentiles of routes and years out of the counts of routes and months."""
+    return rounded(A.delay_percentiles(_delay_counts(spark, sf), ["year", "route"]))
+
+
+@query
+def city_month_percentiles(spark, sf):
+    """Departures of the city that a route starts from, arrivals of the one that it ends at."""
+    at = F.when(F.col("side") == "dep", F.col("origin_node")).otherwise(F.col("dest_node"))
+    return rounded(A.delay_percentiles(_delay_counts(spark, sf).withColumn("node", at), ["ym", "node"]))
+
+
+@query
+def fact_in_increments(spark, sf):
+    """The fact out of three deliveries of files, each read once: the years up to 1996, those up to 1998,
+    and the rest with a month that lies within the first delivery's years."""
+    late = F.col("ym") == 199607
+    part = F.when((F.col("year") <= 1996) & ~late, 1).when((F.col("year") <= 1998) & ~late, 2).otherwise(3)
+    path = S.scratch_path(spark, "deliveries")
+    L.legs(spark, sf).withColumn("part", part).write.partitionBy("part").parquet(path)
+    store = I.FactStore(spark, S.scratch_path(spark, "store"), L.groups(spark))
+    for k in (1, 2, 3):  # each time with all files that are there
+        now = S.manifest(spark, *[f"{path}/part={i}" for i in range(1, k + 1)])
+        store.update(now, lambda paths: spark.read.parquet(*paths))
+    return rounded(store.fact().select(*_fact(spark, sf).columns))
+
+
 @query
 def node_day_hour(spark, sf):
     return A.node_day_hour(L.legs(spark, sf))
@@ -434,8 +469,8 @@ def null_rate_pivot(spark, sf):
     rows = L.legs(spark, sf).where("is_realized")
     top = rows.groupBy("airline").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "airline").limit(4)
     kept = rows.join(F.broadcast(top), "airline", "left_semi")
-    wide = kept.groupBy("airline").pivot("year", [1995, 1996, 1997, 1998]).agg(F.avg(F.col("actual_arr").isNull().cast("double")))
-    return rounded(wide.select("airline", *[F.col(str(y)).alias(f"y{y}") for y in range(1995, 1999)]))
+    wide = kept.groupBy("airline").pivot("year", list(L.YEARS)).agg(F.avg(F.col("actual_arr").isNull().cast("double")))
+    return rounded(wide.select("airline", *[F.col(str(y)).alias(f"y{y}") for y in L.YEARS]))
 
 
 @query
@@ -499,10 +534,19 @@ def calibration(spark, sf):
 
 @query
 def naive_baselines(spark, sf):
+    """The late rates of the route and of the carrier group a month ago, or where there is none that of
+    the years before, and this rate alone, against the outcomes of each year."""
     rows = _rows(spark, sf).where("y is not null")
-    lags = _lags(spark, sf)["route"].select("route", "ym", "route_late15_l1")
-    out = E.naive_baselines(rows.join(lags, ["route", "ym"], "left"), {"b_route": "route_late15_l1"}, 0.5)
-    return rounded(E.binary_metrics(out, "y", "b_route", ["year"]))
+    yearly = rows.groupBy("year").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    past = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    rates = yearly.select("year", (F.sum("pos").over(past) / F.sum("n").over(past)).alias("before")).where("before is not null")  # a row a year
+    lags = _lags(spark, sf)
+    joined = rows.join(F.broadcast(rates), "year").join(lags["route"].select("route", "ym", "route_late15_l1"), ["route", "ym"], "left")
+    joined = joined.join(lags["group"].select("group", "ym", "group_late15_l1"), ["group", "ym"], "left")
+    names = {"route": "route_late15_l1", "group": "group_late15_l1"}
+    out = E.naive_baselines(joined, {f"b_{k}": c for k, c in names.items()} | {"b_rate": "before"}, F.col("before"))
+    long = out.select("year", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), F.col(f"b_{k}").alias("p")) for k in (*names, "rate")])).alias("b")).select("year", "y", "b.*")
+    return rounded(E.binary_metrics(long, "y", "p", ["year", "baseline"]))
 
 
 NUMBERS = ("arr_delay_min", "dep_delay_min", "sched_block_min", "actual_block_min")
@@ -580,10 +624,46 @@ def liml_panel(spark, sf):
     return _coefficients(spark, R.liml(_with_effects(spark, sf), "y", ["w"], ["x"], ["z1", "z2", "z3"], effects=EFFECTS)).select("name", "b")
 
 
+#: Tables of the given panel: mean delays and late shares on one or two measures of departures.
+SPECIFICATIONS = [
+    R.Specification("delays", 1, "y", ("w",), ("x",), ("z1", "z2", "z3")),
+    R.Specification("delays", 2, "y", ("w",), ("x", "x2"), ("z1", "z2", "z3", "z4", "z5")),
+    R.Specification("delays", 3, "y", ("w",), ("x", "x2"), ("z1", "z2", "z3", "z4", "z5"), "liml"),
+    R.Specification("delays", 4, "y", ("w",), ("x", "x2"), (), "ols"),
+    R.Specification("late", 1, "y2", ("w",), ("x", "x2"), ("z1", "z2", "z3", "z4", "z5")),
+    R.Specification("late", 2, "y2", ("w",), ("x2",), (), "ols"),
+]
+
+
+@query
+def estimation_tables(spark, sf):
+    """Every specification with route and month effects, and the same with season effects."""
+    return R.tables(_with_effects(spark, sf), SPECIFICATIONS, {"routes, months": EFFECTS[:2], "routes, months, seasons": EFFECTS})
+
+
+@query
+def estimates_within_routes(spark, sf):
+    """Estimates of one regressor, pooled and within routes, with the measures of their fit."""
+    specs = [R.Specification("ols", 1, "y", ("x",), estimator="ols"), R.Specification("ols", 2, "y2", ("x",), estimator="ols"), R.Specification("iv", 1, "y", (), ("x",), ("z1",))]
+    found = R.tables(_monthly(spark, sf), specs, {"none": None, "routes": ["od"]})
+    return rounded(found.where("name in ('x', 'n', 'k', 'adj_r2', 'rmse', 'j_df')").drop("error"))
+
+
+@query
+def hac_row_order(spark, sf):
+    """``hac_moments`` with lags of so many rows in the order of routes and months."""
+    s = R.lagged_moments(_monthly(spark, sf), "od", "t", ["y", "x"], 3, by_unit=False)
+    return rounded(spark.createDataFrame([(i, j, float(s[i, j])) for i in range(2) for j in range(2)], "i int, j int, v double"), 3)
+
+
 @query
 def rank_tests(spark, sf):
-    found = R.rank_tests(_with_effects(spark, sf), ["w"], ["x"], ["z1", "z2", "z3"], bandwidth=4, effects=EFFECTS)
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "statistic string, value double")
+    """The tests of one and of two endogenous columns, every rank of these among them."""
+    rows, out = _with_effects(spark, sf), []
+    for endog, instruments in ((["x"], ["z1", "z2", "z3"]), (["x", "x2"], ["z1", "z2", "z3", "z4", "z5"])):
+        found = R.rank_tests(rows, ["w"], endog, instruments, bandwidth=4, effects=EFFECTS)
+        out += [(len(endog), k, float(v)) for k, v in found.items()]
+    return spark.createDataFrame(out, "n_endogenous int, statistic string, value double")
 
 
 CATEGORICAL = ["airline", "group", "class", "origin_icao", "dest_icao", "origin_node", "dest_node", "route_kind"]
@@ -610,24 +690,44 @@ def _model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, list
     return S.materialised(features.select("leg_id", "year", *BINARY_TARGETS, *lists["H-1"]), "features"), lists
 
 
+def _rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of every fold, target and horizon, written once."""
+
+    def make() -> DataFrame:
+        rows, lists = _model_rows(spark, sf)
+        return E.rolling_metrics(E.rolling_scores(rows, all_folds(rows), BINARY_TARGETS, lists, CATEGORICAL))
+
+    return L.written_once(spark, sf, "rolling", make)
+
+
 @query
 def gbt_rolling(spark, sf):
+    return _rolling(spark, sf)
+
+
+@query
+def fold_summary(spark, sf):
+    return E.fold_summary(_rolling(spark, sf))
+
+
+def _last_fold(spark: SparkSession, sf: str) -> tuple[boost.Blocks, dict[int, list[boost.Tree]]]:
+    """The models of late arrivals on the last fold, for both horizons."""
     rows, lists = _model_rows(spark, sf)
-    return E.rolling_metrics(rows, all_folds(rows), BINARY_TARGETS, lists, CATEGORICAL)
+    settings = boost.Settings()
+    blocks = boost.binned(rows, all_folds(rows)[-1:], ["late15_arr"], lists, CATEGORICAL, settings)
+    return blocks, boost.boost(blocks, settings)
 
 
 @query
 def permutation_importance(spark, sf):
     """On the last fold, as the reference has it, for both horizons and every column."""
-    rows, lists = _model_rows(spark, sf)
-    rows = rows.where("late15_arr is not null")
-    fold, out = all_folds(rows)[-1], None
-    for horizon, features in lists.items():
-        numeric = [c for c in features if c not in CATEGORICAL]
-        model = E.fit(fold.part(rows, "train"), fold.part(rows, "valid"), "late15_arr", numeric, CATEGORICAL)
-        found = E.permutation_importance(model, fold.part(rows, "test"), "late15_arr", numeric, CATEGORICAL, features).withColumn("horizon", F.lit(horizon))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return E.permutation_importance(*_last_fold(spark, sf)).drop("target")
+
+
+@query
+def gain_importance(spark, sf):
+    """Of the same models, the gains of each column's splits."""
+    return E.gain_importance(spark, *_last_fold(spark, sf)).drop("fold", "target")
 
 
 def _slopes(spark: SparkSession, sf: str) -> DataFrame:

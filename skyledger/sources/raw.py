@@ -155,9 +155,9 @@ def write_csv_gz(df: DataFrame, path: str, keys: list[str], digits: int = 6) ->
     df.withColumns(floats).orderBy(*keys).write.option("compression", "gzip").option("header", True).mode("overwrite").csv(path)
 
 
-def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, bytes, sha256`` of each file, read by the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+def manifest(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
+    """``file, path, bytes, sha256`` of each file, read by the executors."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(paths))
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import boost
 from skyledger.operators import evaluate as E
 from skyledger.plans import queries as Q
 
@@ -12,39 +14,148 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(3)
-    made = [(str(k), 1995 + k % 5, x := rng.random(), rng.random(), rng.choice("ab"), int(x > 0.5), int(x > 0.8)) for k in range(3000)]
+    made = [(str(k), 1995 + k % 5, x if k % 7 else None, rng.random(), rng.choice("abcd"), int(x > 0.5), int(x > 0.8) if k % 11 else None) for k in range(3000) for x in [rng.random()]]
     return spark.createDataFrame(made, "leg_id string, year int, x double, noise double, kind string, y int, z int").cache()
 
 
 def test_every_fold_target_and_horizon(spark, rows):
     folds = Q.all_folds(rows)
     assert [(f.train, f.valid, f.test) for f in folds] == [((1995,), 1996, (1997,)), ((1995, 1996), 1997, (1998,)), ((1995, 1996, 1997), 1998, (1999,))]
-    got = E.rolling_metrics(rows, folds, ["y", "z"], {"a": ["noise", "kind"], "b": ["noise", "kind", "x"]}, ["kind"], maxIter=2, maxDepth=2)
+    scored = E.rolling_scores(rows, folds, ["y", "z"], {"a": ["noise", "kind"], "b": ["noise", "kind", "x"]}, ["kind"], boost.Settings(trees=3, depth=2, least_weight=5.0))
+    got = E.rolling_metrics(scored)
     found = {(r["fold"], r["target"], r["horizon"]): r for r in got.collect()}
-    assert len(found) == 12 and all(r["n"] == 600 for r in found.values())
-    assert all(r["auc"] > 0.95 if k[2] == "b" else r["auc"] < 0.7 for k, r in found.items())
-    assert E.fold_summary(got).count() == 2
+    tested = {(f"rolling_{r['year']}", t): r[t] for r in rows.groupBy("year").agg(F.count("y").alias("y"), F.count("z").alias("z")).collect() for t in "yz"}
+    assert len(found) == 12 and all(r["n"] == tested[k[:2]] for k, r in found.items())
+    assert all(r["auc"] > 0.9 if k[2] == "b" else r["auc"] < 0.7 for k, r in found.items())
+    summary = {(r["target"], r["horizon"]): r for r in E.fold_summary(got).collect()}
+    assert len(summary) == 4 and all(r["folds"] == 3 and r["min_auc"] <= r["median_auc"] <= r["max_auc"] for r in summary.values())
+    assert summary["y", "b"]["min_auc"] == min(r["auc"] for k, r in found.items() if k[1:] == ("y", "b"))
 
 
-def test_importance_permutes_each_column(rows):
-    fold = Q.all_folds(rows)[-1]
-    model = E.fit(fold.part(rows, "train"), fold.part(rows, "valid"), "y", ["x", "noise"], ["kind"], maxIter=2, maxDepth=2)
-    got = {r["feature"]: r for r in E.permutation_importance(model, fold.part(rows, "test"), "y", ["x", "noise"], ["kind"], ["kind", "x", "noise"]).collect()}
+def plain_boost(parts, category, base, settings):
+    """Boosted trees by loops over rows, nodes and cuts; ``parts``: training and validation bins and labels."""
+    (x, y), (vx, vy) = parts
+    margin, other = np.full(x.shape[1], np.float32(base), float), np.full(vx.shape[1], np.float32(base), float)
+    trees, losses = [], []
+
+    def grow(rows, g, h, depth):
+        G, H = g[rows].sum(), h[rows].sum()
+        best = None
+        if depth < settings.depth:
+            for f in range(len(x)):
+                bins = sorted(set(x[f, rows]))
+                sums = {b: (g[rows][x[f, rows] == b].sum(), h[rows][x[f, rows] == b].sum()) for b in bins}
+                if category[f]:
+                    order = sorted((b for b in bins if sums[b][1] > 0), key=lambda b: (sums[b][0] / (sums[b][1] + settings.l2), b))
+                    cuts = [order[: k + 1] for k in range(len(order))]
+                else:
+                    order = [b for b in bins if b]
+                    cuts = [c for k in range(len(order)) for c in (order[: k + 1], [*order[: k + 1], 0])]
+                for left in cuts:
+                    lg, lh = sum(sums.get(b, (0, 0))[0] for b in left), sum(sums.get(b, (0, 0))[1] for b in left)
+                    if lh >= settings.least_weight and H - lh >= settings.least_weight:
+                        gain = lg**2 / (lh + settings.l2) + (G - lg) ** 2 / (H - lh + settings.l2) - G**2 / (H + settings.l2)
+                        if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-12)):
+                            best = (gain, f, set(left))
+        value = -settings.rate * G / (H + settings.l2)
+        if best is None:
+            return value
+        _, f, left = best
+        goes = np.isin(x[f, rows], list(left))
+        if not category[f]:  # bins between two that occur go with the lower one
+            top = max([b for b in left if b], default=0)
+            goes = np.where(x[f, rows] == 0, 0 in left, x[f, rows] <= top)
+            left = set(range(1, top + 1)) | (left & {0})
+        return f, left, grow(rows[goes], g, h, depth + 1), grow(rows[~goes], g, h, depth + 1)
+
+    def value(tree, column):
+        while isinstance(tree, tuple):
+            tree = tree[2] if column[tree[0]] in tree[1] else tree[3]
+        return tree
+
+    for n in range(settings.trees + 1):
+        losses.append((np.logaddexp(0, other) - vy * other).mean())
+        if n == settings.trees or n - int(np.argmin(losses)) >= settings.patience:
+            break
+        p = 1 / (1 + np.exp(-margin))
+        tree = grow(np.arange(x.shape[1]), np.round((p - y) * boost.UNIT) / boost.UNIT, np.round(p * (1 - p) * boost.UNIT) / boost.UNIT, 0)
+        if not isinstance(tree, tuple):
+            break
+        trees.append(tree)
+        margin += [value(tree, c) for c in x.T]
+        other += [value(tree, c) for c in vx.T]
+        if (n + 1) % settings.stored_every == 0:
+            margin, other = margin.astype(np.float32).astype(float), other.astype(np.float32).astype(float)
+    return [lambda column, t=t: value(t, column) for t in trees[: int(np.argmin(losses))]]
+
+
+def unpacked(blocks, fold, role, label):
+    """The bins and labels of a part of a fold, and the ids, from the written blocks."""
+    xs, ys, ids = [], [], []
+    for r in blocks.rows.where((F.col("fold") == fold) & (F.col("role") == role)).collect():
+        y = np.frombuffer(r["y"], np.uint8).reshape(-1, r["n"])[label]
+        xs.append(np.frombuffer(r["x"], np.uint8).reshape(-1, r["n"])[:, y != 255])
+        ys.append(y[y != 255].astype(float))
+        ids += [i for i, known in zip(r["ids"], y != 255, strict=True) if known]
+    return np.concatenate(xs, axis=1), np.concatenate(ys), ids
+
+
+@pytest.mark.parametrize("made", [True, False])
+def test_trees_are_those_of_plain_loops(spark, rows, made):
+    if made:
+        table, lists, targets, category = rows, {"a": ["noise", "kind", "x"]}, ["y", "z"], ["kind"]
+    else:  # the real features, with all their nulls and categories
+        table, both = Q._model_rows(spark, SF)
+        lists, targets, category = {"H-1": both["H-1"]}, ["late15_arr"], Q.CATEGORICAL
+    settings = boost.Settings(trees=4, depth=3, least_weight=8.0, stored_every=2, bins=16)
+    folds = Q.all_folds(table)[-1:]
+    blocks = boost.binned(table, folds, targets, lists, category, settings)
+    trees = boost.boost(blocks, settings)
+    scored = {(r["target"], r["id"]): r["p"] for r in boost.scores(blocks, trees).where("y is not null").collect()}
+    for k, target in enumerate(targets):
+        found = plain_boost([unpacked(blocks, 0, role, k)[:2] for role in (boost.TRAIN, boost.VALID)], [c in category for c in blocks.features], blocks.base[k], settings)
+        x, _, ids = unpacked(blocks, 0, boost.TEST, k)
+        margins = [np.float32(blocks.base[k]) + sum(t(c) for t in found) for c in x.T]
+        assert found and len(found) == len(trees[k])
+        assert np.allclose([scored[target, i] for i in ids], 1 / (1 + np.exp(-np.array(margins))), atol=1e-5)
+
+
+def test_nulls_go_where_they_gain_and_unseen_values_somewhere(spark):
+    made = [(str(k), 1995 + k % 3, None if k % 4 == 0 else float(k % 4), "ab"[k % 2] if k % 3 < 2 else "new", int(k % 4 in (0, 3))) for k in range(1200)]
+    table = spark.createDataFrame(made, "leg_id string, year int, v double, kind string, y int")
+    settings = boost.Settings(trees=6, depth=2, rate=0.5, least_weight=1.0)
+    blocks = boost.binned(table, Q.all_folds(table), ["y"], {"a": ["v", "kind"]}, ["kind"], settings)
+    trees = boost.boost(blocks, settings)
+    assert trees[0][0].feature[0] == 0 and trees[0][0].left[0][0] & 1 == 0  # one cut tells all: nulls go with 3, to the right
+    assert E.rolling_metrics(boost.scores(blocks, trees)).first()["auc"] == 1.0
+
+
+def test_a_target_of_one_class_or_without_rows(spark, rows):
+    table = rows.withColumns({"y": F.lit(1), "z": F.lit(None).cast("int")})
+    got = E.rolling_metrics(E.rolling_scores(table, Q.all_folds(table)[-1:], ["y", "z"], {"a": ["x", "kind"]}, ["kind"], boost.Settings(trees=2))).collect()
+    assert [(r["target"], r["auc"], r["base_rate"]) for r in got] == [("y", None, 1.0)]
+
+
+def test_importance_permutes_each_column(spark, rows):
+    settings = boost.Settings(trees=5, depth=2, least_weight=5.0)
+    blocks = boost.binned(rows, Q.all_folds(rows)[-1:], ["y"], {"a": ["kind", "x", "noise"]}, ["kind"], settings)
+    trees = boost.boost(blocks, settings)
+    got = {r["feature"]: r for r in E.permutation_importance(blocks, trees).collect()}
     # half of the pairs are in the wrong order once the one column that tells is dealt anew
-    assert set(got) == {"kind", "x", "noise"} and got["x"]["auc_drop"] > 0.4 and abs(got["kind"]["auc_drop"]) < 0.05 and got["x"]["auc_drop_sd"] > 0
+    assert set(got) == {"kind", "x", "noise"} and got["x"]["auc_drop"] > 0.35 and abs(got["kind"]["auc_drop"]) < 0.05 and got["x"]["auc_drop_sd"] > 0
+    gains = [(r["feature"], r["gain"]) for r in E.gain_importance(spark, blocks, trees).collect()]
+    assert gains[0][0] == "x" and [g for _, g in gains] == sorted((g for _, g in gains), reverse=True) and len(gains) == 3
+    # the counts of a permuted column are those of all test rows
+    counts = boost.permuted_counts(blocks, trees, 2, 0).groupBy("feature", "repeat").agg(F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()
+    assert {(r["n"], r["pos"]) for r in counts} == {(600, rows.where("year = 1999").agg(F.sum("y")).first()[0])}
 
 
-def test_the_queries_ask_for_all(spark, monkeypatch):
-    """What the registered queries hand to the models, without the seconds of fitting them."""
-    asked = []
-    monkeypatch.setattr(E, "fit", lambda train, valid, label, numeric, categorical, **params: asked.append((label, len(numeric) + len(categorical), params)))
-    monkeypatch.setattr(E, "predict", lambda model, df, label, numeric: df.withColumn("p", F.lit(0.5)))
+def test_the_queries_run_all_folds_targets_and_columns(spark):
     got = Q.gbt_rolling(spark, SF).collect()
     years = sorted({r["fold"] for r in got})
-    assert years == [f"rolling_{y}" for y in range(1997, 2002)] and len(got) == len(asked) == len(years) * 4 * 2
-    assert {(a, n) for a, n, _ in asked} == {(t, n) for t in ("late15_arr", "late30_arr", "late15_dep", "cancelled") for n in (46, 49)} and not any(p for *_, p in asked)
-    permuted = []
-    monkeypatch.setattr(E, "permuted", lambda df, column, seed, block: (permuted.append((column, seed)), df)[1])
-    monkeypatch.setattr(E, "binary_metrics", lambda *a: spark.range(1).select(F.lit(0.5).alias("auc")))
+    assert years == [f"rolling_{y}" for y in range(1997, 2002)] and len(got) == len(years) * 4 * 2
+    assert {r["target"] for r in got} == {"late15_arr", "late30_arr", "late15_dep", "cancelled"}
+    assert Q.fold_summary(spark, SF).count() == 8
     found = Q.permutation_importance(spark, SF)
-    assert found.where("horizon = 'D-1'").count() == 46 and found.where("horizon = 'H-1'").count() == 49 and len(permuted) == 3 * 95
+    assert found.where("horizon = 'D-1'").count() == 46 and found.where("horizon = 'H-1'").count() == 49
+    assert Q.gain_importance(spark, SF).count() == 95
