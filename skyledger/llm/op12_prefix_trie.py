@@ -156,9 +156,10 @@ def cut(trie: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     its smallest conversation, how many have it, the one that ends with it, the roots of lower tries
     met so far) with ``further``, whether it reaches below the cut, and of the part above the cut
     ``top``, its name, ``top_n`` and ``top_e``."""
-    pieces = trie.join(blocks, ["c", "j"])
+    pieces = stash(trie.join(blocks, ["c", "j"]), f"pieces{k}")
+    # written, so that both sides of the join are plain tables and a crowded name can be split
     tops = pieces.groupBy("j", "g", "left").agg(F.min("c").alias("top"), F.sum("n").alias("top_n"), F.max(F.when(F.col("right").isNull(), F.col("e"))).alias("top_e"))
-    found = pieces.join(tops, ["j", "g", "left"]).withColumn("further", F.col("right").isNotNull())
+    found = pieces.join(stash(tops, f"tops{k}"), ["j", "g", "left"]).withColumn("further", F.col("right").isNotNull())
     return stash(found.drop("left", "right"), f"cut{k}")
 
 
