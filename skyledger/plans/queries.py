@@ -42,6 +42,22 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
     return L.written_once(spark, sf, "fact", lambda: A.build_fact(L.legs(spark, sf), L.groups(spark)))
 
 
+def _day_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return L.written_once(spark, sf, "day_hour", lambda: A.node_day_hour(L.legs(spark, sf)))
+
+
+def _context(spark: SparkSession, sf: str) -> DataFrame:
+    return L.written_once(spark, sf, "context", lambda: A.route_month_context(L.legs(spark, sf)))
+
+
+def _route(spark: SparkSession, sf: str) -> DataFrame:
+    return L.written_once(spark, sf, "route_month", lambda: J.route_month(_fact(spark, sf), L.LCC_GROUPS, L.CLASSES))
+
+
+def _city(spark: SparkSession, sf: str) -> DataFrame:
+    return L.written_once(spark, sf, "city_month", lambda: J.city_month(_fact(spark, sf), _day_hour(spark, sf), L.LCC_GROUPS, L.CLASSES))
+
+
 def _panel_fact(spark: SparkSession, sf: str) -> DataFrame:
     return P.in_panel(_fact(spark, sf), L.PANEL_NODES)
 
@@ -119,7 +135,7 @@ def fact_group_route_month(spark, sf):
 
 @query
 def route_month_context(spark, sf):
-    return rounded(A.route_month_context(L.legs(spark, sf)))
+    return rounded(_context(spark, sf))
 
 
 def _delay_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +172,7 @@ def fact_in_increments(spark, sf):
 
 @query
 def node_day_hour(spark, sf):
-    return A.node_day_hour(L.legs(spark, sf))
+    return _day_hour(spark, sf)
 
 
 @query
@@ -171,25 +187,24 @@ def missing_actual_by_year(spark, sf):
 
 @query
 def route_month(spark, sf):
-    return rounded(J.route_month(_fact(spark, sf), L.LCC_GROUPS, L.CLASSES))
+    return rounded(_route(spark, sf))
 
 
 @query
 def route_ratios(spark, sf):
-    r = J.route_ratios(J.route_month(_fact(spark, sf), L.LCC_GROUPS, L.CLASSES))
+    r = J.route_ratios(_route(spark, sf))
     return rounded(r.select(*A.ROUTE_KEYS, *[c for c in r.columns if c.startswith("sh_") or c.endswith(("mean_min", "pos_min", "sd_min", "denominator")) and not c.startswith("sum_") or c in ("peak_hour_share", "hhi_hours", "prwheather", "princident", "pr_connc")]))
 
 
 @query
 def route_structure(spark, sf):
-    r = J.route_month(_fact(spark, sf), L.LCC_GROUPS, L.CLASSES)
+    r = _route(spark, sf)
     return rounded(r.select("ym", "route", "n_groups", "hhi_flights", J.normalised_hhi(F.col("hhi_flights"), F.col("n_groups")).alias("hhi_norm"), "sh_leader", "n_entries", "n_exits", "entry_lcc"))
 
 
 @query
 def city_month(spark, sf):
-    c = J.city_month(_fact(spark, sf), A.node_day_hour(L.legs(spark, sf)), L.LCC_GROUPS, L.CLASSES)
-    return rounded(c.select(*J.CITY_KEYS, "dep_flights", "arr_flights", "movements_cancelled", *P.CITY_COLUMNS))
+    return rounded(_city(spark, sf))
 
 
 @query
@@ -199,7 +214,7 @@ def airline_city_month(spark, sf):
 
 @query
 def city_congestion(spark, sf):
-    return rounded(J.monthly_congestion(A.node_day_hour(L.legs(spark, sf))))
+    return rounded(J.monthly_congestion(_day_hour(spark, sf)))
 
 
 @query
@@ -225,19 +240,17 @@ def _distances(spark: SparkSession) -> DataFrame:
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
     def make() -> DataFrame:
-        legs, fact = L.legs(spark, sf), _panel_fact(spark, sf)
-        # the city stands at both ends of a route, and is made once
-        city = S.materialised(J.city_month(fact, A.node_day_hour(legs), L.LCC_GROUPS, L.CLASSES), "city")
-        return P.assemble_panel(fact, S.materialised(A.route_month_context(legs), "context"), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, classes=L.CLASSES, wanted=L.PRESENCE)
+        fact = _panel_fact(spark, sf)
+        # the city stands at both ends of a route, and is made once, out of the panel's own routes
+        city = S.materialised(J.city_month(fact, _day_hour(spark, sf), L.LCC_GROUPS, L.CLASSES), "city")
+        return P.assemble_panel(fact, _route(spark, sf), _context(spark, sf), city, _distances(spark), lcc_groups=L.LCC_GROUPS, fsc_groups=L.FSC_GROUPS, wanted=L.PRESENCE)
 
     return L.written_once(spark, sf, "panel", make)
 
 
 @query
 def panel_route_month(spark, sf):
-    keep = ("f", "fl_real", "fl_can", "fl_odel", "fl_ddel", "ndays", "dailyfl", "prcanc", "all_minsarr", "fsc_prdelarr", "fscc_minsdep", "lccfu_f", "lcc", "n_rows_all", "arr_delay_p90_min",
-            "sh_extra", "o_movements", "d_movements", "maxalccfu", "maxcthhi_flights", "gmchhi_flights", "maxcongested", "maxprdel_proxy", "distance_km")
-    return rounded(_panel(spark, sf).select("ym", "route", *keep))
+    return rounded(_panel(spark, sf))
 
 
 @query
@@ -290,7 +303,7 @@ def code_differences(spark, sf):
 
 def _views(spark: SparkSession, sf: str) -> list[str]:
     fact = _fact(spark, sf)
-    city = J.city_month(fact, A.node_day_hour(L.legs(spark, sf)), L.LCC_GROUPS, L.CLASSES)
+    city = _city(spark, sf)
     airline_city = J.add_hub(J.city_sums(fact, with_group=True))
     return V.register(spark, L.legs(spark, sf), fact, _panel(spark, sf), city, airline_city, _references(spark, sf), L.WINDOW)
 
@@ -360,7 +373,7 @@ def run_metrics(spark, sf):
 
 @query
 def log_odds(spark, sf):
-    r = J.route_ratios(J.route_month(_fact(spark, sf), L.LCC_GROUPS, L.CLASSES))
+    r = J.route_ratios(_route(spark, sf))
     return rounded(r.select("ym", "route", C.log_odds("sh_arr_gt15").alias("oddsarr"), C.log_odds("sh_dep_gt15").alias("oddsdep")))
 
 
