@@ -31,11 +31,17 @@ def estimation_sample(panel: DataFrame, regressand: str, unit: str = "od", first
     return rows.withColumn("t", month_index("ym"))
 
 
-def cross_products(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
+def cross_products(df: DataFrame, columns: list[str], dummies: list[str] | None = None) -> dict[tuple[str, str], float]:
     """Sums of products of every two columns and of each with a constant, named ``1``. A task adds its
-    rows up, Spark adds the tasks, and the driver gets a row for each column."""
+    rows up, Spark adds the tasks, and the driver gets a row for each column. ``dummies`` are codes of
+    few values, of which each but the least is a column ``code=value``; effects of many levels are taken
+    out by ``without_effects``."""
+    for d in dummies or []:
+        values = [r[0] for r in df.select(d).dropna().distinct().orderBy(d).collect()][1:]
+        df = df.withColumns({f"{d}={v}": (F.col(d) == F.lit(v)).cast("double") for v in values})
+        columns = [*columns, *[f"{d}={v}" for v in values]]
     names = ["1", *columns]
-    used = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    used = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), len(names)))

@@ -3,11 +3,12 @@ by position, and typed afterwards; what cannot be read becomes null."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -40,14 +41,43 @@ def layout_for(year: int, wide_from: int = 2010) -> Layout:
     return WIDE if year >= wide_from else LEGACY
 
 
+def lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, path, block, at, raw``: the lines of files as bytes. Spark cuts files into blocks of bytes
+    that end with a line; ``at`` rises along a block."""
+    found = spark.read.text(paths).select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return found.withColumn("at", F.monotonically_increasing_id())
+
+
+def _read(spark: SparkSession, paths: str | list[str], layout: Layout) -> DataFrame:
+    """``lines_of`` with ``fields`` and ``reason``: why a line is none of the layout (null for one that is
+    and for headers, whose fields are null). A file's first line is its header, and so are its repeats."""
+    lines = lines_of(spark, paths)
+    headers = lines.groupBy("path").agg(F.min_by("raw", F.struct("block", "at")).alias("header"))  # a row a file
+    bare = F.when(F.substring("raw", -1, 1) == F.lit(b"\r"), F.expr("substring(raw, 1, octet_length(raw) - 1)")).otherwise(F.col("raw"))
+    rows = lines.join(F.broadcast(headers), "path")
+    legible = F.is_valid_utf8(bare.cast("string")) if layout.encoding == "UTF-8" else F.lit(True)
+    fields = F.split(F.decode(F.when(legible, bare), layout.encoding), f"\\Q{layout.separator}\\E", -1)
+    why = F.when(~legible, "encoding").when(F.size(fields) != layout.width, "width")
+    is_header = F.col("raw") == F.col("header")
+    return rows.withColumns({"fields": F.when(~is_header, fields), "reason": F.when(~is_header, why)}).drop("header")
+
+
 def scan(spark: SparkSession, paths: str | list[str], layout: Layout) -> DataFrame:
-    """The fields of well-formed rows; the header and rows of another width are dropped. Pruning
-    columns inside the parser would let such rows pass, so it is off for these reads."""
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    schema = StructType([StructField(f"c{k}", StringType()) for k in range(layout.width)])
-    options = {"header": True, "enforceSchema": True, "sep": layout.separator, "quote": "", "encoding": layout.encoding, "mode": "DROPMALFORMED"}
-    raw = spark.read.schema(schema).options(**options).csv(paths)
-    return raw.select(*[F.col(f"c{k}").alias(n) for n, k in layout.places.items()])
+    """The fields of well-formed rows. Quotes are ordinary characters."""
+    rows = _read(spark, paths, layout).where("fields is not null and reason is null")
+    return rows.select(*[F.nullif(F.get("fields", F.lit(k)), F.lit("")).alias(n) for n, k in layout.places.items()])
+
+
+def rejects(spark: SparkSession, paths: str | list[str], layout: Layout) -> DataFrame:
+    """``file, path, line, reason, text`` of the lines that ``scan`` leaves out, headers aside: those that
+    are not in the layout's encoding or have another number of fields. Lines are counted from 1 over
+    all blocks of a file."""
+    rows = _read(spark, paths, layout)
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a block
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    bad = rows.where("reason is not null").join(starts, ["path", "block"])
+    return bad.select("file", "path", (F.col("start") + F.col("at") - F.col("first") + 1).alias("line"), "reason", F.decode("raw", "ISO-8859-1").alias("text"))
 
 
 def typed(raw: DataFrame, layout: Layout, causes: DataFrame | None = None) -> DataFrame:
@@ -111,9 +141,26 @@ def stage_legs(spark: SparkSession, paths: dict[Layout, list[str]], metro: dict[
     return staged(out, metro, groups)
 
 
-def write_staged(legs: DataFrame, path: str) -> None:
-    """Parquet by the year a file came from; the column ``year`` in the rows is the flight's own."""
-    legs.withColumn("src_year", F.col("year")).write.option("compression", "zstd").partitionBy("src_year").mode("overwrite").parquet(path)
+#: Rows of a staged file, level of its compression, and bytes of its row groups.
+FILE_ROWS, LEVEL, GROUP_BYTES = 2_000_000, 9, 16 << 20
+
+
+def write_staged(legs: DataFrame, path: str, file_rows: int = FILE_ROWS, level: int = LEVEL) -> None:
+    """Parquet by the year a file came from; the column ``year`` in the rows is the flight's own. Rows are
+    dealt to files of about ``file_rows`` by ranges of year, route and time and sorted in them, so the
+    least and greatest values that files and their row groups keep let filters on these skip most."""
+    rows = legs.withColumn("src_year", F.col("year"))
+    files = max(1, math.ceil(legs.count() / file_rows))
+    ordered = rows.repartitionByRange(files, "src_year", "route", "sched_dep").sortWithinPartitions("src_year", "route", "sched_dep")
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.block.size": GROUP_BYTES}
+    ordered.write.options(**options).partitionBy("src_year").mode("overwrite").parquet(path)
+
+
+def files_for(staged: DataFrame, route: str) -> DataFrame:
+    """``n_files, n_needed, n_rows``: how many files there are, how many may hold the route by the least and
+    greatest one in them, and the rows of the route. A check of the layout, not a way to read."""
+    each = staged.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("route").alias("low"), F.max("route").alias("high"), F.count_if(F.col("route") == route).alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("n_files"), F.count_if((F.col("low") <= route) & (F.col("high") >= route)).alias("n_needed"), F.sum("n").alias("n_rows"))
 
 
 def read_staged(spark: SparkSession, path: str, years: tuple[int, ...] | None = None) -> DataFrame:
@@ -155,9 +202,9 @@ def write_csv_gz(df: DataFrame, path: str, keys: list[str], digits: int = 6) ->
     df.withColumns(floats).orderBy(*keys).write.option("compression", "gzip").option("header", True).mode("overwrite").csv(path)
 
 
-def manifest(spark: SparkSession, *paths: str, pattern: str = "*") -> DataFrame:
+def manifest(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """``file, path, bytes, sha256`` of each file, read by the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(paths))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
