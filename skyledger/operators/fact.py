@@ -5,11 +5,13 @@ Legs are shuffled once, on the fact's key; everything coarser starts from the fa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import OUTLIER_MIN, effective_delay, ratio, shift_ym, within
-from skyledger.functions.measures import SUMMED, add_up, completed
+from skyledger.functions.measures import add_up, completed
 
 FACT_KEYS = ("ym", "year", "month", "route", "origin_node", "dest_node", "group", "class")
 ROUTE_KEYS = FACT_KEYS[:6]
@@ -38,12 +40,15 @@ def build_fact(legs: DataFrame, groups: DataFrame, threshold: float = OUTLIER_MI
     """One row for each group, route and month of universe legs: all additive measures, the exact
     number of flight numbers, and whether the group entered or left the route.
 
-    The distinct count is a second aggregate on a finer key, joined by adding up: legs are first
-    grouped by key and flight number, so no plan with a row per distinct value and measure arises.
+    The distinct count has a grouping of its own, of the keys and the flight number alone, so that the
+    wide sums are shuffled once and on the coarser key.
     """
     rows = label_carriers(legs.where(F.col("universe_repl") & F.col("route").isNotNull() & F.col("ym").isNotNull()), groups)
-    fine = add_up(rows, [*FACT_KEYS, "flight_number"], threshold)
-    fact = completed(fine.groupBy(*FACT_KEYS).agg(*[F.sum(m.name).alias(m.name) for m in SUMMED], F.count("flight_number").alias("n_flight_numbers")))
+    sums = completed(add_up(rows, list(FACT_KEYS), threshold))
+    numbers = rows.select(*[F.col(k).alias(f"_{k}") for k in FACT_KEYS], "flight_number").distinct()
+    numbers = numbers.groupBy(*[f"_{k}" for k in FACT_KEYS]).agg(F.count("flight_number").alias("n_flight_numbers"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in FACT_KEYS]
+    fact = sums.join(numbers, reduce(lambda a, b: a & b, same)).drop(*[f"_{k}" for k in FACT_KEYS])
     spell = Window.partitionBy("route", "group").orderBy("ym")
     entry = F.coalesce(F.lag("ym").over(spell) != shift_ym("ym", -1), F.lit(True))
     left = F.coalesce(F.lead("ym").over(spell) != shift_ym("ym", 1), F.lit(True))
@@ -52,7 +57,7 @@ def build_fact(legs: DataFrame, groups: DataFrame, threshold: float = OUTLIER_MI
 
 def route_month_context(legs: DataFrame, threshold: float = OUTLIER_MIN, empty_means_on_time: bool = True) -> DataFrame:
     """Counts over all legs of a route and month, and the median and 90th percentile of universe
-    delays. Order statistics don't add up, so they are taken here and nowhere else."""
+    delays. Order statistics don't add up: coarser ones come from ``delay_counts``, not from these."""
     rows = legs.where(F.col("route").isNotNull() & F.col("ym").isNotNull())
     out = [
         F.count(F.lit(1)).alias("n_rows_all"),
