@@ -35,11 +35,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and return the table: it cuts the lineage, and a lost
-    executor costs no more than its unfinished tasks."""
+    executor costs no more than its unfinished tasks. ``drop`` removes it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove scratch tables that nothing reads any more. What ``stash`` did not write stays."""
+    for table in tables:
+        if path := table is not None and table.__dict__.get("_scratch"):
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Keys of a join that may be taken apart as hot ones, and rows below which no key is one.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import stash
+from skyledger.llm.common import drop, stash
 
 #: Fixed values of the rebuilding: conversations of a family share the first turns of one of them.
 FAMILY, MOST_SHARED = 5, 9
@@ -159,8 +159,10 @@ def cut(trie: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     pieces = stash(trie.join(blocks, ["c", "j"]), f"pieces{k}")
     # written, so that both sides of the join are plain tables and a crowded name can be split
     tops = pieces.groupBy("j", "g", "left").agg(F.min("c").alias("top"), F.sum("n").alias("top_n"), F.max(F.when(F.col("right").isNull(), F.col("e"))).alias("top_e"))
-    found = pieces.join(stash(tops, f"tops{k}"), ["j", "g", "left"]).withColumn("further", F.col("right").isNotNull())
-    return stash(found.drop("left", "right"), f"cut{k}")
+    tops = stash(tops, f"tops{k}")
+    found = stash(pieces.join(tops, ["j", "g", "left"]).withColumn("further", F.col("right").isNotNull()).drop("left", "right"), f"cut{k}")
+    drop(pieces, tops)
+    return found
 
 
 def parts_of(found: DataFrame, k: int) -> DataFrame:
@@ -189,7 +191,7 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     # cut from the greatest height down: at height 1 a segment is a node
     trie = sequences.groupBy("name").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n"))
     roots = F.array().cast("array<struct<k:int,root:bigint>>")
-    trie = stash(trie.select(F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("g"), "c", "n", F.col("c").alias("e"), roots.alias("roots")), "trie")
+    whole_trie = trie = stash(trie.select(F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("g"), "c", "n", F.col("c").alias("e"), roots.alias("roots")), "trie")
     cuts: dict[int, DataFrame] = {}
     for k in range(height, 0, -1):
         cuts[k] = cut(trie, blocks[k], k)
@@ -215,7 +217,8 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
         grafted = tops.join(lower, ["j", "top"], "left")
         above = grafted.select((F.col("j") * 2).alias("j"), F.col("top").alias("c"), *[(F.col(f"{w}_below") + F.coalesce(f"all_{w}", zero)).alias(f"{w}_below") for w in ("leaves", "saved")])
         below = held.where("further").select((F.col("j") * 2 + 1).alias("j"), "c", "leaves_below", "saved_below")
-        hung = stash(above.unionByName(below), f"hung{k}")
+        last, hung = hung, stash(above.unionByName(below), f"hung{k}")
+        drop(last, cuts[k])
 
     done = weighed.join(hung, ["j", "c"]).join(hashes, "e", "left")
     done = done.select(
@@ -226,9 +229,15 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     top = done.where("depth = 1").agg(F.count(F.lit(1)), F.sum("n_leaves"), F.sum("saved_tokens")).first()
     least = turnless.agg(F.min("conv_id")).first()[0]
     none = None if least is None else hashes.where(F.col("e") == least).first()["ends_sha256"]
+    drop(*blocks, whole_trie, nodes, weighed, sums, hung, hashes)
     root = [(whole["least"], 0, None, whole["n"], top[0], top[1] or 1, top[2] or 0, none or EMPTY)]
     return done.unionByName(spark.createDataFrame(root, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie(*rebuilt(placed_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    placed = placed_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    turns, ids = rebuilt(placed)
+    drop(placed)
+    found = prefix_trie(turns, ids)
+    drop(turns)
+    return found
