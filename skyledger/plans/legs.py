@@ -20,6 +20,8 @@ PRESENCE = {"pres_glo": ("G1",), "pres_azu": ("G3",), "pres_tam": ("G2",), "lcc"
 #: Months of the estimation's window, and capacities by the hour that airports declare from a day on; both invented for the given tables.
 WINDOW = (199601, 199912)
 CAPACITY = [("N00", "1995-01-01", 2), ("N00", "1997-06-15", 3), ("N03", "1996-03-01", 2), ("N08", "2099-01-01", 9)]
+#: What makes a hub among the few cities of the given tables.
+HUBS = {"city": 20, "group": 5, "share": 0.2, "ratio": 1.2}
 PANEL_NODES = ("M1", "M2", "N05", "N06", "N07")
 
 LEGS = """

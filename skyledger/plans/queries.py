@@ -364,7 +364,7 @@ def code_differences(spark, sf):
 def _views(spark: SparkSession, sf: str) -> list[str]:
     fact = _fact(spark, sf)
     city = _city(spark, sf)
-    airline_city = J.add_hub(J.city_sums(fact, with_group=True))
+    airline_city = J.add_hub(J.city_sums(fact, with_group=True), L.HUBS)
     return V.register(spark, L.legs(spark, sf), fact, _panel(spark, sf), city, airline_city, _references(spark, sf), L.WINDOW)
 
 
@@ -665,6 +665,13 @@ def _with_effects(spark: SparkSession, sf: str) -> DataFrame:
     return _monthly(spark, sf).withColumns({f"season_{r}": F.when(touches(nodes), (F.col("ym") % 100).cast("int")).otherwise(0) for r, nodes in REGIONS.items()})
 
 
+@query
+def estimation_sample(spark, sf):
+    """Routes with 36 months or more in the window, and their first and last ones."""
+    rows = R.estimation_sample(_monthly(spark, sf).drop("t"), "y", first=L.WINDOW[0], last=L.WINDOW[1], least_rows=36)
+    return rows.groupBy("od").agg(F.count(F.lit(1)).alias("n"), F.min("ym").alias("first_ym"), F.max("ym").alias("last_ym"))
+
+
 @query
 def ols_panel(spark, sf):
     return rounded(_coefficients(spark, R.ols(_monthly(spark, sf), "y", ["x"])).select("name", "b"))
