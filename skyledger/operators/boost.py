@@ -17,7 +17,7 @@ after ``patience`` trees without a better one, and keeps the trees up to its bes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,14 @@ UNIT, NO_LABEL = float(1 << 20), 255
 NULL_BIN, MOST_CATEGORIES = 0, 254
 #: Bins that a byte can tell apart.
 N_BINS = 256
+#: Share of a block's rows that count, below which those are copied out before they are added up.
+FEW = 0.4
+#: Whole units of a margin, and how many of them a bin of margins has.
+MARGIN_UNIT, MARGIN_BIN = 1_000_000_000, 15_625_000
+#: Distinct numbers that a task holds, of all years and columns, before it hands them on.
+HELD_VALUES = 2_000_000
+#: Rows of which a task holds the margins of one permuted column at a time.
+CHUNK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -69,16 +77,45 @@ class Tree:
 
     def nodes(self, x: np.ndarray, levels: int) -> np.ndarray:
         """The node that each column of ``x`` (features by rows) has come to after ``levels`` splits."""
-        at, rows = np.zeros(x.shape[1], np.int32), np.arange(x.shape[1])
-        for _ in range(levels):
-            f = self.feature[at]
-            bins = x[np.maximum(f, 0), rows]
-            goes_left = (self.left[at, bins >> 3] >> (bins & 7)) & 1
-            at = np.where(f >= 0, 2 * at + 2 - goes_left, at)
-        return at
+        return Walk(self, levels).nodes(x)
 
     def values(self, x: np.ndarray) -> np.ndarray:
-        return self.value[self.nodes(x, len(self.feature).bit_length() - 1)]
+        return Walk(self).values(x)
+
+
+class Walk:
+    """The first ``levels`` splits of a tree (all of them by default) as flat tables, made once for many
+    blocks: the node that follows a node and a bin, itself where the node has no split."""
+
+    def __init__(self, tree: Tree, levels: int | None = None):
+        self.levels = len(tree.feature).bit_length() - 1 if levels is None else levels
+        here = np.arange(len(tree.feature))[:, None]
+        goes_left = np.unpackbits(tree.left, axis=1, bitorder="little").astype(np.intp)
+        self.following = np.where(tree.feature[:, None] >= 0, 2 * here + 2 - goes_left, here).ravel()
+        self.feature, self.value = tree.feature, tree.value
+        self.read = np.maximum(tree.feature, 0).astype(np.intp)
+
+    def path(self, x: np.ndarray, rows: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """The nodes of the columns of ``x`` (of ``rows`` those), from the root on."""
+        n, flat = x.shape[1], x.ravel()
+        rows, start = np.arange(n) if rows is None else rows, self.read * n
+        at = np.zeros(len(rows), np.intp)
+        yield at
+        for _ in range(self.levels):
+            at = self.following.take(at * N_BINS + flat.take(start.take(at) + rows))
+            yield at
+
+    def nodes(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        for at in self.path(x, rows):
+            pass
+        return at
+
+    def values(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        return self.value.take(self.nodes(x, rows))
+
+    def asked(self, x: np.ndarray) -> np.ndarray:
+        """The features that the columns of ``x`` are asked for on their way to a leaf."""
+        return np.stack([self.feature.take(at) for at in self.path(x)]).astype(np.int16)
 
 
 @dataclass
@@ -107,19 +144,26 @@ class Blocks:
         return np.array([self.features.index(c) for c in list(self.lists.values())[model % len(self.lists)]], dtype=int)
 
 
-def dealt(rows: DataFrame, folds: list) -> DataFrame:
-    """A row for each fold that a row has a part in, with ``fold`` and ``role``."""
-    part = lambda k, f: F.when(F.col("year").isin(*f.train), F.lit(TRAIN)).when(F.col("year") == f.valid, F.lit(VALID)).when(F.col("year").isin(*f.test), F.lit(TEST))
-    parts = F.filter(F.array(*[F.struct(F.lit(k).alias("fold"), part(k, f).alias("role")) for k, f in enumerate(folds)]), lambda p: p["role"].isNotNull())
-    return rows.withColumn("_p", F.explode(parts)).withColumns({"fold": F.col("_p.fold"), "role": F.col("_p.role")}).drop("_p")
+def _roles(folds: list, years: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each fold and role, which rows of these years have it."""
+    for k, f in enumerate(folds):
+        for role, part in ((TRAIN, f.train), (VALID, (f.valid,)), (TEST, f.test)):
+            yield k, role, np.isin(years, part)
+
 
+def _of_folds(counts: DataFrame, folds: list) -> DataFrame:
+    """Counts by year, with a row for each fold that trains on the year, as ``fold``."""
+    pairs = counts.sparkSession.createDataFrame([(k, y) for k, f in enumerate(folds) for y in f.train], "fold int, year int")
+    return counts.join(F.broadcast(pairs), "year").drop("year")  # a row a fold and year
 
-def _ranks(train: DataFrame, categorical: list[str]) -> dict[tuple[int, str], dict[str, int]]:
-    """For each fold and category column, the rank from 1 of its most frequent values."""
+
+def _ranks(typed: DataFrame, folds: list, categorical: list[str]) -> dict[tuple[int, str], dict[str, int]]:
+    """For each fold and category column, the rank from 1 of its most frequent values in training."""
     if not categorical:
         return {}
-    long = train.select("fold", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("e")).select("fold", "e.c", "e.v")
-    counts = long.where("v is not null").groupBy("fold", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    long = typed.select("year", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("e")).select("year", "e.c", "e.v")
+    counts = long.where("v is not null").groupBy("year", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = _of_folds(counts, folds).groupBy("fold", "c", "v").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("fold", "c").orderBy(F.desc("n"), "v"))
     out: dict[tuple[int, str], dict[str, int]] = {}
     for r in counts.withColumn("k", rank).where(F.col("k") <= MOST_CATEGORIES).collect():
@@ -127,31 +171,91 @@ def _ranks(train: DataFrame, categorical: list[str]) -> dict[tuple[int, str], di
     return out
 
 
+def _borders(typed: DataFrame, folds: list, numeric: list[str], bins: int) -> list[dict[str, np.ndarray]]:
+    """For each fold and number column, the exact quantiles of its training rows: the values at whole
+    ``bins``-ths of the rows in order. A task counts the distinct values that it meets by year; those of
+    one span of numbers (sign, exponent and eight bits more) are then put in order by one task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        size = 0
+        for batch in batches:
+            years = batch.column("year").to_numpy(zero_copy_only=False)
+            for y in np.unique(years[~np.isnan(years.astype(float))]):
+                here = years == y
+                for i, c in enumerate(numeric):
+                    v = batch.column(c).to_numpy(zero_copy_only=False)[here]
+                    v, n = np.unique(v[~np.isnan(v)] + 0.0, return_counts=True)
+                    held.setdefault((int(y), i), []).append((v, n))
+                    size += len(v)
+            if size > HELD_VALUES:
+                held, size = merged(held)
+                if size > HELD_VALUES // 2:
+                    yield from out(held)
+                    held, size = {}, 0
+        yield from out(merged(held)[0])
+
+    def merged(held: dict) -> tuple[dict, int]:
+        done, size = {}, 0
+        for key, parts in held.items():
+            v, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            done[key] = [(v, np.bincount(of, np.concatenate([p[1] for p in parts]), len(v)).astype(np.int64))]
+            size += len(v)
+        return done, size
+
+    def out(held: dict) -> Iterator[pa.RecordBatch]:
+        for (y, i), parts in held.items():
+            for v, n in parts:
+                bits = v.view(np.int64)
+                span = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits) >> 44
+                same = [pa.array(np.full(len(v), x), pa.int32()) for x in (y, i)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(span), pa.array(v), pa.array(n, pa.int64())], names=["year", "c", "span", "v", "n"])
+
+    borders = [{c: np.zeros(0) for c in numeric} for _ in folds]
+    if not numeric:
+        return borders
+    keys = ["fold", "c", "span"]
+    counts = typed.select("year", *numeric).mapInArrow(count, "year int, c int, span long, v double, n long").groupBy("year", "c", "span", "v").agg(F.sum("n").alias("n"))
+    counts = _of_folds(counts, folds).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("fold", "c")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, before.alias("before"), F.sum("n").over(whole).alias("all"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    met = counts.join(spans, keys).withColumn("upto", upto)
+    parts = lambda rows: F.floor(rows * bins / F.col("all"))
+    found = met.where(F.least(parts(F.col("upto")), F.lit(bins - 1)) > parts(F.col("upto") - F.col("n"))).select("fold", "c", "v")
+    for r in found.collect():  # at most bins - 1 for each fold and column
+        k, c = r["fold"], numeric[r["c"]]
+        borders[k][c] = np.append(borders[k][c], r["v"])
+    return [{c: np.sort(v) for c, v in of.items()} for of in borders]
+
+
 def binned(rows: DataFrame, folds: list, targets: list[str], lists: dict[str, list[str]], categorical: list[str], settings: Settings, row_id: str = "leg_id") -> Blocks:
     """Blocks of ``rows`` (``row_id``, ``year``, features and targets) for all models. Rows of a fold are
-    ordered by a hash of their id, so a block is a random group of them."""
+    ordered by a hash of their id, so a block is a random group of them. They are dealt to folds as they
+    are binned, so that bytes are shuffled and not the features."""
     features = list(dict.fromkeys(c for columns in lists.values() for c in columns))
     numeric = [c for c in features if c not in categorical]
     typed = rows.select(
-        F.col(row_id).cast("string").alias("_id"), "year",
+        F.col(row_id).cast("string").alias("_id"), F.col("year").cast("int").alias("year"), F.xxhash64(F.lit(settings.seed), F.col(row_id).cast("string")).alias("_h"),
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) if c in numeric else F.col(c).cast("string").alias(c) for c in features],
         *[F.col(t).cast("byte").alias(f"_y_{t}") for t in targets],
     )
-    each = dealt(typed, folds)
-    train = each.where(F.col("role") == TRAIN)
-    shares = F.array(*[F.lit(i / settings.bins) for i in range(1, settings.bins)])
-    quantiles = [F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(numeric)]
-    found = {r["fold"]: r for r in train.groupBy("fold").agg(*quantiles, *[F.avg(f"_y_{t}").alias(f"r{i}") for i, t in enumerate(targets)]).collect()}
-    borders = [{c: np.unique(np.array(found[k][f"q{i}"] or [], dtype=float)) for i, c in enumerate(numeric)} if k in found else {c: np.zeros(0) for c in numeric} for k in range(len(folds))]
-    rates = np.array([[(found[k][f"r{i}"] if k in found else None) or 0.0 for i in range(len(targets))] for k in range(len(folds))])
+    borders = _borders(typed, folds, numeric, settings.bins)
+    sums = typed.groupBy("year").agg(*[e for i, t in enumerate(targets) for e in (F.sum(f"_y_{t}").alias(f"s{i}"), F.count(f"_y_{t}").alias(f"n{i}"))])
+    per_year = {r["year"]: r for r in sums.collect()}
+    rates = np.zeros((len(folds), len(targets)))
+    for k, f in enumerate(folds):
+        for i in range(len(targets)):
+            of = [per_year[y] for y in f.train if y in per_year]
+            rates[k, i] = sum(r[f"s{i}"] or 0 for r in of) / max(1, sum(r[f"n{i}"] for r in of))
     rates = np.clip(rates, 1e-6, 1 - 1e-6)
     base = np.repeat(np.log(rates / (1 - rates)).ravel(), len(lists))
-    ranks = _ranks(train, [c for c in features if c in categorical])
+    ranks = _ranks(typed, folds, [c for c in features if c in categorical])
     n_bins = max([settings.bins + 1, *(max(rank.values()) + 2 for rank in ranks.values())])
-    per_fold = len(targets) * len(lists)
+    per_fold, wide = len(targets) * len(lists), len(features)
 
-    def bytes_of(batch: pa.RecordBatch, c: str, fold: int) -> np.ndarray:
-        column = batch.column(c)
+    def bytes_of(column: pa.Array, c: str, fold: int) -> np.ndarray:
         if c in numeric:
             v = column.to_numpy(zero_copy_only=False)
             return np.where(np.isnan(v), NULL_BIN, 1 + np.searchsorted(borders[fold][c], v, side="left")).astype(np.uint8)
@@ -160,6 +264,19 @@ def binned(rows: DataFrame, folds: list, targets: list[str], lists: dict[str, li
         codes = np.array([rank.get(v, n_bins - 1) for v in coded.dictionary.to_pylist()] + [NULL_BIN], dtype=np.uint8)
         return codes[np.where(np.asarray(coded.indices.is_valid()), coded.indices.fill_null(0).to_numpy(zero_copy_only=False), len(codes) - 1)]
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            years = batch.column("year").fill_null(-1).to_numpy(zero_copy_only=False)
+            for k, role, has in _roles(folds, years):
+                if not has.any():
+                    continue
+                part = batch.filter(pa.array(has))
+                y = [part.column(f"_y_{t}").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint8) for t in targets]
+                cells = np.ascontiguousarray(np.stack([*[bytes_of(part.column(c), c, k) for c in features], *y], axis=1))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(cells.shape[1]), len(cells), [None, pa.py_buffer(cells)])
+                same = [pa.array(np.full(len(cells), v), pa.int32()) for v in (k, role)]
+                yield pa.RecordBatch.from_arrays([*same, part.column("_h"), part.column("_id"), packed.cast(pa.binary())], names=["fold", "role", "_h", "_id", "cells"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fold, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "role"))
@@ -168,16 +285,15 @@ def binned(rows: DataFrame, folds: list, targets: list[str], lists: dict[str, li
                 if a == b:
                     continue
                 part, k = batch.slice(a, b - a), int(fold[a])
-                x = np.stack([bytes_of(part, c, k) for c in features])
-                y = np.stack([part.column(f"_y_{t}").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint8) for t in targets])
+                cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(b - a, -1).T
                 margin = np.repeat(base[k * per_fold : (k + 1) * per_fold], b - a).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([int(role[a])], pa.int32()), pa.array([b - a], pa.int32()), pa.array([part.column("_id").to_pylist()], pa.list_(pa.string())), *[pa.array([m.tobytes()], pa.binary()) for m in (x, y, margin)]],
+                    [pa.array([k], pa.int32()), pa.array([int(role[a])], pa.int32()), pa.array([b - a], pa.int32()), pa.array([part.column("_id").to_pylist()], pa.list_(pa.string())), *[pa.array([m.tobytes()], pa.binary()) for m in (cells[:wide], cells[wide:], margin)]],
                     names=["fold", "role", "n", "ids", "x", "y", "margin"],
                 )
 
-    random = F.xxhash64(F.lit(settings.seed), "_id")
-    placed = each.withColumn("_h", random).repartition("fold", F.pmod("_h", F.lit(64))).sortWithinPartitions("fold", "role", "_h", "_id").drop("_h", "year")
+    each = typed.mapInArrow(deal, "fold int, role int, _h long, _id string, cells binary")
+    placed = each.repartition("fold", F.pmod("_h", F.lit(64))).sortWithinPartitions("fold", "role", "_h", "_id").drop("_h")
     packed = placed.mapInArrow(pack, "fold int, role int, n int, ids array<string>, x binary, y binary, margin binary")
     return Blocks(materialised(packed, "blocks"), [f.name for f in folds], targets, lists, features, categorical, base, n_bins, borders)
 
@@ -240,7 +356,13 @@ def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dic
     n_bins = blocks.n_bins
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+        losses_of: dict[int, np.ndarray] = {}
+        before = {m: [Walk(tree) for tree in pending[m]] for m in pending}
+        grown = {m: Walk(trees[m], level) for m in open_} if level else {}
+        slots = {m: np.full(len(trees[m].feature), -1) for m in open_}
+        for m, slot in slots.items():
+            slot[open_[m]] = np.arange(len(open_[m]))
         for batch in batches:
             row = {c: batch.column(c) for c in ("n", "x", "y", "margin")}
             for i in range(batch.num_rows):
@@ -250,29 +372,33 @@ def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dic
                     continue
                 x, y, margins = _block(row, i, per_fold)
                 for m in own:
-                    label = y[m % per_fold // n_lists]
-                    known = np.flatnonzero(label != NO_LABEL)
-                    xs, label, margin = x[:, known], label[known], margins[m % per_fold, known]
-                    for tree in pending[m]:
-                        margin = margin + tree.values(xs)
+                    label, margin = y[m % per_fold // n_lists], margins[m % per_fold]
+                    for walk in before[m]:
+                        margin = margin + walk.values(x)
+                    used = label != NO_LABEL
                     if role == VALID:
+                        label, margin = label[used], margin[used]
                         loss = np.logaddexp(0, margin) - label * margin
-                        sums[m, -1] = sums.get((m, -1), 0) + np.array([loss.sum(), len(loss)])
+                        losses_of[m] = losses_of.get(m, 0) + np.array([loss.sum(), len(loss)])
                         continue
+                    at = slots[m].take(grown[m].nodes(x)) if level else np.zeros(x.shape[1], np.intp)
+                    used &= at >= 0
                     g, h = gradients(margin, label)
-                    slot = np.full(len(trees[m].feature) if level else 1, -1)
-                    slot[open_[m]] = np.arange(len(open_[m]))
-                    at = slot[trees[m].nodes(xs, level)] if level else np.zeros(len(known), int)
-                    here = at >= 0
-                    at, g, h, size = at[here] * n_bins, g[here], h[here], len(open_[m]) * n_bins
+                    xs, n_used = x, np.count_nonzero(used)
+                    if n_used < FEW * len(used):
+                        rows_ = np.flatnonzero(used)
+                        xs, at, g, h = x.take(rows_, axis=1), at.take(rows_), g.take(rows_), h.take(rows_)
+                    elif n_used < len(used):  # rows that do not count add nothing to the first node
+                        at, g, h = at * used, g * used, h * used
+                    if m not in sums:
+                        sums[m] = np.zeros((len(open_[m]), len(columns[m]), 2, n_bins))
+                    at, size = at * n_bins, len(open_[m]) * n_bins
                     for j, f in enumerate(columns[m]):
-                        cell = at + xs[f, here]
-                        got = np.stack([np.bincount(cell, w, size).reshape(-1, n_bins) for w in (g, h)], axis=1)
-                        for s, node in enumerate(open_[m]):
-                            if (m, node) not in sums:
-                                sums[m, node] = np.zeros((len(columns[m]), 2, n_bins))
-                            sums[m, node][j] += got[s]
-        for (m, node), value in sums.items():
+                        cell = at + xs[f]
+                        for k, w in enumerate((g, h)):
+                            sums[m][:, j, k] += np.bincount(cell, w, size).reshape(-1, n_bins)
+        found = [(m, -1, value) for m, value in losses_of.items()] + [(m, node, value) for m, values in sums.items() for node, value in zip(open_[m], values, strict=True)]
+        for m, node, value in found:
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([node], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["model", "node", "sums"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,14 +478,15 @@ def _stored(rows: DataFrame, pending: dict[int, list[Tree]], per_fold: int) -> D
     """The blocks of training and validation rows with the margins after the trees in ``pending``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = {m: [Walk(tree) for tree in found] for m, found in pending.items()}
         for batch in batches:
             row, margins = {c: batch.column(c) for c in ("n", "x", "y", "margin")}, []
             for i in range(batch.num_rows):
                 x, _, margin = _block(row, i, per_fold)
                 fold = batch.column("fold")[i].as_py()
                 for k in range(per_fold):
-                    for tree in pending.get(fold * per_fold + k, []):
-                        margin[k] += tree.values(x)
+                    for walk in walks.get(fold * per_fold + k, []):
+                        margin[k] += walk.values(x)
                 margins.append(margin.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("fold", "role", "n", "x", "y")], pa.array(margins, pa.binary())], names=["fold", "role", "n", "x", "y", "margin"])
 
@@ -372,6 +499,7 @@ def scores(blocks: Blocks, trees: dict[int, list[Tree]], role: int = TEST) -> Da
     per_fold, n_lists, named = blocks.per_fold, len(blocks.lists), blocks.models()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = {m: [Walk(tree) for tree in found] for m, found in trees.items()}
         for batch in batches:
             row = {c: batch.column(c) for c in ("n", "x", "y", "margin")}
             for i in range(batch.num_rows):
@@ -382,8 +510,8 @@ def scores(blocks: Blocks, trees: dict[int, list[Tree]], role: int = TEST) -> Da
                     if m not in trees:
                         continue
                     label, margin = y[k // n_lists], margins[k]
-                    for tree in trees[m]:
-                        margin = margin + tree.values(x)
+                    for walk in walks[m]:
+                        margin = margin + walk.values(x)
                     n = len(label)
                     names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [v]).cast(pa.string()) for v in named[m]]
                     yield pa.RecordBatch.from_arrays([*names, ids, pa.array(label.astype(np.int32), pa.int32(), mask=label == NO_LABEL), pa.array(1 / (1 + np.exp(-margin)))], names=["fold", "target", "horizon", "id", "y", "p"])
@@ -391,44 +519,134 @@ def scores(blocks: Blocks, trees: dict[int, list[Tree]], role: int = TEST) -> Da
     return blocks.rows.where(F.col("role") == role).mapInArrow(run, "fold string, target string, horizon string, id string, y int, p double")
 
 
-def permuted_counts(blocks: Blocks, trees: dict[int, list[Tree]], repeats: int, seed: int) -> DataFrame:
-    """``target, horizon, feature, repeat, p, pos, neg``: rows of the test part by score, with each
-    feature that a model uses dealt anew among the rows of its block, ``repeats`` times; and without
-    (an empty feature). A block is a random group of rows, so nothing is shuffled but the counts."""
-    per_fold, n_lists, named = blocks.per_fold, len(blocks.lists), blocks.models()
+def permuted_margins(blocks: Blocks, trees: dict[int, list[Tree]], repeats: int, seed: int) -> DataFrame:
+    """``model, feature, repeat, bin, rows``: the margins of the test rows with each feature that a model
+    uses dealt anew among the rows of its block, ``repeats`` times; and without (feature -1). A block is
+    a random group of rows, so rows are not shuffled for that. ``rows`` has four bytes for each row whose
+    margin is in the bin: twice the whole units above the bin's lower end, and the label."""
+    per_fold, n_lists = blocks.per_fold, len(blocks.lists)
+
+    def packed(m: int, f: int, r: int, margin: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        units = np.rint(margin * MARGIN_UNIT).astype(np.int64)
+        bins = units // MARGIN_BIN
+        low = ((units - bins * MARGIN_BIN) * 2 + label).astype("<u4")
+        order = np.argsort(bins, kind="stable")
+        bins, low = bins[order], low[order]
+        edges = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), len(bins)]
+        n = len(edges) - 1
+        parts = [pa.array(np.full(n, v), pa.int32()) for v in (m, f, r)]
+        return pa.RecordBatch.from_arrays([*parts, pa.array(bins[edges[:-1]], pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["model", "feature", "repeat", "bin", "rows"])
+
+    def of_chunk(fold: int, chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]], walks: dict[int, list[Walk]]) -> Iterator[pa.RecordBatch]:
+        for k in range(per_fold):
+            m, parts = fold * per_fold + k, []
+            if m not in walks:
+                continue
+            for x, y, margins in chunk:
+                known = np.flatnonzero(y[k // n_lists] != NO_LABEL)
+                xs = x.take(known, axis=1)
+                values = [walk.values(xs) for walk in walks[m]]
+                parts.append((xs, y[k // n_lists, known], margins[k, known] + sum(values), values, [walk.asked(xs) for walk in walks[m]]))
+            label = np.concatenate([p[1] for p in parts])
+            if not len(label):
+                continue
+            yield packed(m, -1, 0, np.concatenate([p[2] for p in parts]), label)
+            for f in sorted({int(f) for walk in walks[m] for f in walk.feature[walk.feature >= 0]}):
+                new: list[list[np.ndarray]] = [[] for _ in range(repeats)]
+                for xs, _, whole, values, asked in parts:
+                    # a row whose way through a tree does not ask for the column keeps the tree's value
+                    users = [(walk, rows, value[rows]) for walk, value, a in zip(walks[m], values, asked, strict=True) for rows in [np.flatnonzero((a == f).any(axis=0))] if len(rows)]
+                    kept, n = xs[f].copy(), xs.shape[1]
+                    for r in range(repeats):
+                        margin = whole.copy()
+                        xs[f] = kept[np.random.default_rng([seed, r, f, n, int(kept.sum())]).permutation(n)]
+                        for walk, rows, value in users:
+                            margin[rows] += walk.values(xs, rows) - value
+                        new[r].append(margin)
+                    xs[f] = kept
+                for r in range(repeats):
+                    yield packed(m, f, r, np.concatenate(new[r]), label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks, chunk, held = {m: [Walk(tree) for tree in found] for m, found in trees.items()}, [], 0
+        last = None
         for batch in batches:
             row = {c: batch.column(c) for c in ("n", "x", "y", "margin")}
             for i in range(batch.num_rows):
-                fold = batch.column("fold")[i].as_py()
-                x, y, margins = _block(row, i, per_fold)
-                for k in range(per_fold):
-                    m = fold * per_fold + k
-                    if m not in trees:
-                        continue
-                    known = np.flatnonzero(y[k // n_lists] != NO_LABEL)
-                    label, xs = y[k // n_lists, known], x[:, known].copy()
-                    parts = [tree.values(xs) for tree in trees[m]]
-                    whole = margins[k, known] + sum(parts)
-                    yield counted(m, "", 0, whole, label)
-                    for f in sorted({int(f) for tree in trees[m] for f in tree.feature[tree.feature >= 0]}):
-                        using = [t for t, tree in enumerate(trees[m]) if (tree.feature == f).any()]
-                        rest, kept = whole - sum(parts[t] for t in using), xs[f].copy()
-                        for r in range(repeats):
-                            xs[f] = kept[np.random.default_rng([seed, r, f, len(known), int(kept.sum())]).permutation(len(known))]
-                            yield counted(m, blocks_features[f], r, rest + sum(trees[m][t].values(xs) for t in using), label)
-                        xs[f] = kept
-
-    def counted(m: int, feature: str, repeat: int, margin: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-        steps, of = np.unique(np.round(margin, 9), return_inverse=True)
-        pos = np.bincount(of, label, len(steps))
-        n = len(steps)
-        names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [v]).cast(pa.string()) for v in (*named[m][1:], feature)]
-        return pa.RecordBatch.from_arrays([*names, pa.array(np.full(n, repeat), pa.int32()), pa.array(1 / (1 + np.exp(-steps))), pa.array(pos), pa.array(np.bincount(of, minlength=n) - pos)], names=["target", "horizon", "feature", "repeat", "p", "pos", "neg"])
-
-    blocks_features = blocks.features
-    return blocks.rows.where(F.col("role") == TEST).mapInArrow(run, "target string, horizon string, feature string, repeat int, p double, pos double, neg double")
+                fold, n = batch.column("fold")[i].as_py(), row["n"][i].as_py()
+                if chunk and (fold != last or held + n > CHUNK_ROWS):
+                    yield from of_chunk(last, chunk, walks)
+                    chunk, held = [], 0
+                chunk.append(_block(row, i, per_fold))
+                held, last = held + n, fold
+        if chunk:
+            yield from of_chunk(last, chunk, walks)
+
+    return blocks.rows.where(F.col("role") == TEST).mapInArrow(run, "model int, feature int, repeat int, bin long, rows binary")
+
+
+def _named(blocks: Blocks, m: int, f: int) -> tuple[str, str, str]:
+    return (*blocks.models()[m][1:], blocks.features[f] if f >= 0 else "")
+
+
+def permuted_counts(blocks: Blocks, trees: dict[int, list[Tree]], repeats: int, seed: int) -> DataFrame:
+    """``target, horizon, feature, repeat, p, pos, neg``: the rows of ``permuted_margins`` by score; the
+    feature is empty where none is permuted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, f, r, b, rows in zip(*[batch.column(c).to_pylist() for c in ("model", "feature", "repeat", "bin", "rows")], strict=True):
+                margins, pos, neg = _steps(np.frombuffer(rows, "<u4"))
+                n = len(margins)
+                names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [v]).cast(pa.string()) for v in _named(blocks_, m, f)]
+                p = 1 / (1 + np.exp(-(b * MARGIN_BIN + margins) / MARGIN_UNIT))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(n, r), pa.int32()), pa.array(p), pa.array(pos), pa.array(neg)], names=["target", "horizon", "feature", "repeat", "p", "pos", "neg"])
+
+    blocks_ = replace(blocks, rows=None)  # without the table, which tasks cannot have
+    return permuted_margins(blocks, trees, repeats, seed).mapInArrow(run, "target string, horizon string, feature string, repeat int, p double, pos double, neg double")
+
+
+def _steps(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct margins of a bin in order, and how many rows of either class have each."""
+    rows = np.sort(rows)
+    margins = (rows >> 1).astype(np.int64)
+    edges = np.r_[0, np.flatnonzero(np.diff(margins)) + 1]
+    pos = np.add.reduceat((rows & 1).astype(float), edges)
+    return margins[edges], pos, np.diff(np.r_[edges, len(rows)]) - pos
+
+
+def permuted_areas(blocks: Blocks, trees: dict[int, list[Tree]], repeats: int, seed: int) -> DataFrame:
+    """``target, horizon, feature, repeat, auc``: the exact area under the curve of ``permuted_margins``.
+    What belongs to a bin meets in one task as packed numbers, which are ordered there; a window runs down the
+    bins. No task sees all margins, and Spark no row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("model", "feature", "repeat", "bin")
+        key, held = None, []
+        for batch in batches:
+            for at, rows in zip(zip(*[batch.column(c).to_pylist() for c in names], strict=True), batch.column("rows"), strict=True):
+                if at != key and held:
+                    yield summed(key, held)
+                    held = []
+                key = at
+                held.append(np.frombuffer(rows.as_buffer(), "<u4").copy())
+        if held:
+            yield summed(key, held)
+
+    def summed(key: tuple, held: list[np.ndarray]) -> pa.RecordBatch:
+        _, pos, neg = _steps(np.concatenate(held))
+        won = (pos * (np.cumsum(neg) - neg / 2)).sum()  # a positive beats the negatives below it and half of those that tie
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, pos.sum(), neg.sum(), won), strict=True))], schema=schema)
+
+    schema = pa.schema([("model", pa.int32()), ("feature", pa.int32()), ("repeat", pa.int32()), ("bin", pa.int64()), *[(c, pa.float64()) for c in ("pos", "neg", "won")]])
+    keys = ["model", "feature", "repeat"]
+    met = permuted_margins(blocks, trees, repeats, seed).repartition(*keys, "bin").sortWithinPartitions(*keys, "bin")
+    bins = met.mapInArrow(run, "model int, feature int, repeat int, bin long, pos double, neg double, won double")
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = bins.withColumn("won", F.col("won") + F.col("pos") * below).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "won")])
+    named = blocks.rows.sparkSession.createDataFrame([(m, f, *_named(blocks, m, f)) for m in trees for f in (-1, *blocks.columns(m).tolist())], "model int, feature int, target string, horizon string, name string")
+    area = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg")))
+    return sums.join(named, ["model", "feature"]).select("target", "horizon", F.col("name").alias("feature"), "repeat", area.alias("auc"))
 
 
 def gains(blocks: Blocks, trees: dict[int, list[Tree]]) -> list[tuple[str, str, str, str, float]]:

@@ -168,9 +168,7 @@ def permutation_importance(blocks: boost.Blocks, trees: dict[int, list[boost.Tre
     test rows as a feature is permuted, its mean and deviation over the repeats, greatest first. All
     features and repeats are one pass over the rows; a feature that no tree uses has no fall."""
     spark, named = blocks.rows.sparkSession, blocks.models()
-    keys = ["target", "horizon", "feature", "repeat"]
-    counts = boost.permuted_counts(blocks, trees, repeats, seed).groupBy(*keys, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    areas = materialised(metrics_of_counts(counts, keys).select(*keys, "auc"), "areas")  # a row for each feature and repeat
+    areas = materialised(boost.permuted_areas(blocks, trees, repeats, seed), "areas")  # a row for each feature and repeat
     base = areas.where("feature = ''").select("target", "horizon", F.col("auc").alias("base"))
     drops = areas.where("feature <> ''").join(base, ["target", "horizon"]).groupBy("target", "horizon", "feature").agg(F.avg(F.col("base") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base") - F.col("auc")).alias("auc_drop_sd"))
     all_ = spark.createDataFrame([(*named[m][1:], blocks.features[f]) for m in trees for f in blocks.columns(m)], "target string, horizon string, feature string")

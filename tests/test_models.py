@@ -150,6 +150,49 @@ def test_importance_permutes_each_column(spark, rows):
     assert {(r["n"], r["pos"]) for r in counts} == {(600, rows.where("year = 1999").agg(F.sum("y")).first()[0])}
 
 
+def test_areas_of_permuted_columns_are_those_of_their_counts_without_a_row_for_each(spark, rows, monkeypatch):
+    monkeypatch.setattr(boost, "CHUNK_ROWS", 150)
+    settings = boost.Settings(trees=5, depth=3, least_weight=5.0)
+    table = rows.withColumn("z", F.when(F.rand(2) < 0.9, F.col("z")))
+    blocks = boost.binned(table, Q.all_folds(table)[-1:], ["y", "z"], {"a": ["kind", "noise"], "b": ["kind", "x", "noise"]}, ["kind"], settings)
+    trees = boost.boost(blocks, settings)
+    keys = ["target", "horizon", "feature", "repeat"]
+    counts = boost.permuted_counts(blocks, trees, 2, 0)
+    want = {tuple(r[k] for k in keys): r["auc"] for r in E.metrics_of_counts(counts.groupBy(*keys, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), keys).collect()}
+    got = {tuple(r[k] for k in keys): r["auc"] for r in boost.permuted_areas(blocks, trees, 2, 0).collect()}
+    assert set(got) == set(want) and len(got) > 10 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # what is shuffled has a row for each bin of each chunk, and four bytes for each test row
+    packed = boost.permuted_margins(blocks, trees, 2, 0)
+    assert {r["n"] for r in packed.where("model < 2").groupBy("model", "feature", "repeat").agg((F.sum(F.length("rows")) / 4).alias("n")).collect()} == {600}
+
+
+def test_walks_and_sums_are_those_of_every_row_by_itself():
+    rng = np.random.default_rng(1)
+    tree, x = boost.Tree.empty(4), rng.integers(0, 256, (6, 500)).astype(np.uint8)
+    for node in (0, 1, 2, 4, 5, 9, 11):  # nodes without a split among them
+        tree.feature[node], tree.left[node] = rng.integers(0, 6), rng.integers(0, 256, 32)
+    tree.value[:] = rng.normal(size=len(tree.value))
+
+    def walk(column, levels):
+        at = 0
+        for _ in range(levels):
+            if tree.feature[at] >= 0:
+                b = int(column[tree.feature[at]])
+                at = 2 * at + 2 - (tree.left[at, b >> 3] >> (b & 7) & 1)
+        return at
+
+    for levels in range(5):
+        assert tree.nodes(x, levels).tolist() == [walk(c, levels) for c in x.T]
+    some = np.array([3, 77, 499])
+    assert np.array_equal(boost.Walk(tree).values(x, some), tree.values(x)[some])
+    asked = boost.Walk(tree).asked(x)
+    for f in range(6):  # rows that are not asked for a column keep their value without it
+        other = x.copy()
+        other[f] = rng.permutation(x[f])
+        free = ~(asked == f).any(axis=0)
+        assert np.array_equal(tree.values(other)[free], tree.values(x)[free])
+
+
 def test_the_queries_run_all_folds_targets_and_columns(spark):
     got = Q.gbt_rolling(spark, SF).collect()
     years = sorted({r["fold"] for r in got})
