@@ -610,16 +610,20 @@ def naive_baselines(spark, sf):
     """The late rates of the route and of the carrier group a month ago, or where there is none that of
     the years before, and this rate alone, against the outcomes of each year."""
     rows = _rows(spark, sf).where("y is not null")
-    yearly = rows.groupBy("year").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    # all rows of a route, group and month have the same baselines, so legs are added up before these are met
+    cells = S.materialised(rows.groupBy("year", "route", "group", "ym").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), "outcomes")
+    yearly = cells.groupBy("year").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     past = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     rates = yearly.select("year", (F.sum("pos").over(past) / F.sum("n").over(past)).alias("before")).where("before is not null")  # a row a year
     lags = _lags(spark, sf)
-    joined = rows.join(F.broadcast(rates), "year").join(lags["route"].select("route", "ym", "route_late15_l1"), ["route", "ym"], "left")
+    joined = cells.join(F.broadcast(rates), "year").join(lags["route"].select("route", "ym", "route_late15_l1"), ["route", "ym"], "left")
     joined = joined.join(lags["group"].select("group", "ym", "group_late15_l1"), ["group", "ym"], "left")
     names = {"route": "route_late15_l1", "group": "group_late15_l1"}
     out = E.naive_baselines(joined, {f"b_{k}": c for k, c in names.items()} | {"b_rate": "before"}, F.col("before"))
-    long = out.select("year", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), F.col(f"b_{k}").alias("p")) for k in (*names, "rate")])).alias("b")).select("year", "y", "b.*")
-    return rounded(E.binary_metrics(long, "y", "p", ["year", "baseline"]))
+    long = out.select("year", "pos", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), F.col(f"b_{k}").alias("p")) for k in (*names, "rate")])).alias("b")).select("year", "pos", "n", "b.*")
+    keys = ["year", "baseline"]
+    steps = long.where("p is not null").groupBy(*keys, "p").agg(F.sum("pos").cast("double").alias("pos"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("neg"))
+    return rounded(E.metrics_of_counts(steps, keys))
 
 
 NUMBERS = ("arr_delay_min", "dep_delay_min", "sched_block_min", "actual_block_min")
