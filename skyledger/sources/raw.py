@@ -147,12 +147,13 @@ FILE_ROWS, LEVEL, GROUP_BYTES = 2_000_000, 9, 16 << 20
 
 def write_staged(legs: DataFrame, path: str, file_rows: int = FILE_ROWS, level: int = LEVEL) -> None:
     """Parquet by the year a file came from; the column ``year`` in the rows is the flight's own. Rows are
-    dealt to files of about ``file_rows`` by ranges of year, route and time and sorted in them, so the
-    least and greatest values that files and their row groups keep let filters on these skip most."""
-    rows = legs.withColumn("src_year", F.col("year"))
-    files = max(1, math.ceil(legs.count() / file_rows))
-    ordered = rows.repartitionByRange(files, "src_year", "route", "sched_dep").sortWithinPartitions("src_year", "route", "sched_dep")
-    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.block.size": GROUP_BYTES}
+    dealt to tasks by ranges of year, route and time, sorted in them, and cut into files of at most
+    ``file_rows``, so the least and greatest values that files and their row groups keep let filters on these
+    skip most. The driver finds the ranges out of a sample of each; there are as many as tasks, not as files."""
+    rows, n = legs.withColumn("src_year", F.col("year")), legs.count()
+    tasks = min(math.ceil(n / file_rows), max(legs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FILE_ROWS)))
+    ordered = rows.repartitionByRange(max(1, tasks), "src_year", "route", "sched_dep").sortWithinPartitions("src_year", "route", "sched_dep")
+    options = {"maxRecordsPerFile": file_rows, "compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.block.size": GROUP_BYTES}
     ordered.write.options(**options).partitionBy("src_year").mode("overwrite").parquet(path)
 
 
