@@ -216,7 +216,7 @@ def _borders(typed: DataFrame, folds: list, numeric: list[str], bins: int) -> li
         return borders
     keys = ["fold", "c", "span"]
     counts = typed.select("year", *numeric).mapInArrow(count, "year int, c int, span long, v double, n long").groupBy("year", "c", "span", "v").agg(F.sum("n").alias("n"))
-    counts = _of_folds(counts, folds).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    counts = materialised(_of_folds(counts, folds).groupBy(*keys, "v").agg(F.sum("n").alias("n")), "values")  # read twice
     whole = Window.partitionBy("fold", "c")
     before = F.coalesce(F.sum("n").over(whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, before.alias("before"), F.sum("n").over(whole).alias("all"))
