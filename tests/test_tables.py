@@ -1,6 +1,7 @@
 """Reference tables, contracts on them, accounting, views, and the optional parts of the entry."""
 
 import datetime
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -124,3 +125,43 @@ def test_the_entry_without_the_text_part(tmp_path):
         out = subprocess.run([sys.executable, "-B", "-c", ask], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
         n, m, pipeline = out.stdout.split()[-3:]
         assert int(n) == len(queries.QUERIES) and int(m) > 50 and pipeline == "False", out.stderr[-500:]
+
+
+def test_lines_are_shuffled_once_for_their_order_and_customer(spark):
+    from skyledger.plans import legs
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = legs.computed_legs(spark, SF)
+        joins = re.findall(r"Join Inner[^\n]*", df._jdf.queryExecution().optimizedPlan().toString())
+        assert len(joins) == 3 and sum("custkey" in j for j in joins) == 1
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # above the join with customers, the lines are shuffled for orders and for suppliers
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 6
+        plain = spark.sql(legs.LEGS, **{t: spark.read.parquet(f"{SF}/{t}.parquet") for t in legs.TABLES})
+        assert df.drop("dow").exceptAll(plain).isEmpty() and df.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_legs_are_added_up_before_they_meet_their_baselines(spark):
+    from skyledger.plans import queries as Q
+
+    text = Q.naive_baselines(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "leg_id" not in text and "arr_delay_min" not in text and "skyledger-outcomes" in " ".join(Q.naive_baselines(spark, SF).inputFiles())
+
+
+def test_ranges_of_staged_files_are_as_many_as_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from skyledger.plans import legs
+    from skyledger.sources import raw
+
+    rows, asked, real = legs.legs(spark, SF), [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *c: asked.append(n) or real(self, n, *c))
+    raw.write_staged(rows, str(tmp_path / "staged"), file_rows=50)
+    assert asked and asked[0] <= spark.sparkContext.defaultParallelism
+    staged = raw.read_staged(spark, str(tmp_path / "staged"))
+    sizes = [r["count"] for r in staged.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == rows.count()
