@@ -131,6 +131,8 @@ class Blocks:
     base: np.ndarray
     n_bins: int
     borders: list[dict[str, np.ndarray]]
+    #: For each fold and feature, how many bins its training rows can be in.
+    widths: np.ndarray
 
     @property
     def per_fold(self) -> int:
@@ -253,6 +255,9 @@ def binned(rows: DataFrame, folds: list, targets: list[str], lists: dict[str, li
     base = np.repeat(np.log(rates / (1 - rates)).ravel(), len(lists))
     ranks = _ranks(typed, folds, [c for c in features if c in categorical])
     n_bins = max([settings.bins + 1, *(max(rank.values()) + 2 for rank in ranks.values())])
+    # a training row's category has a rank, or is one of those beyond the ranks, in the last bin
+    in_rank = [max([0, *ranks.get((k, c), {}).values()]) for k in range(len(folds)) for c in features]
+    widths = np.array([(len(borders[k][c]) + 2 if c in numeric else n_bins if most == MOST_CATEGORIES else most + 1) for (k, c), most in zip(((k, c) for k in range(len(folds)) for c in features), in_rank, strict=True)], dtype=int).reshape(len(folds), -1)
     per_fold, wide = len(targets) * len(lists), len(features)
 
     def bytes_of(column: pa.Array, c: str, fold: int) -> np.ndarray:
@@ -295,7 +300,7 @@ def binned(rows: DataFrame, folds: list, targets: list[str], lists: dict[str, li
     each = typed.mapInArrow(deal, "fold int, role int, _h long, _id string, cells binary")
     placed = each.repartition("fold", F.pmod("_h", F.lit(64))).sortWithinPartitions("fold", "role", "_h", "_id").drop("_h")
     packed = placed.mapInArrow(pack, "fold int, role int, n int, ids array<string>, x binary, y binary, margin binary")
-    return Blocks(materialised(packed, "blocks"), [f.name for f in folds], targets, lists, features, categorical, base, n_bins, borders)
+    return Blocks(materialised(packed, "blocks"), [f.name for f in folds], targets, lists, features, categorical, base, n_bins, borders, widths)
 
 
 def _block(row: dict, i: int, per_fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -348,12 +353,23 @@ def best_split(sums: np.ndarray, is_category: np.ndarray, settings: Settings) ->
     return float(best[j]), j, left, sums[j][:, left[:n_bins]].sum(axis=1)
 
 
+def whole_bins(sums: np.ndarray, widths: np.ndarray, n_bins: int) -> np.ndarray:
+    """A node's ``sums`` (2 by the bins of all features in turn) as features by 2 by ``n_bins``."""
+    out = np.zeros((len(widths), 2, n_bins))
+    ends = np.cumsum(widths)
+    for j, (end, width) in enumerate(zip(ends, widths, strict=True)):
+        out[j, :, :width] = sums[:, end - width : end]
+    return out
+
+
 def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dict[int, list[Tree]], open_: dict[int, list[int]], seen: dict[int, np.ndarray], level: int, settings: Settings, losses: bool) -> list[dict]:
     """One pass: for every open node of every model its sums and best split, and with ``losses`` the
-    validation loss of each model in ``pending`` (node -1)."""
+    validation loss of each model in ``pending`` (node -1). A node's sums have, for each feature, only the
+    bins that its fold's rows can be in, one feature after the other; folds of ended models are not read."""
     per_fold, n_lists, columns = blocks.per_fold, len(blocks.lists), {m: blocks.columns(m)[seen[m]] for m in open_}
     category = np.array([c in blocks.categorical for c in blocks.features])
     n_bins = blocks.n_bins
+    wide = {m: blocks.widths[m // per_fold][columns[m]] for m in open_}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -391,12 +407,12 @@ def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dic
                     elif n_used < len(used):  # rows that do not count add nothing to the first node
                         at, g, h = at * used, g * used, h * used
                     if m not in sums:
-                        sums[m] = np.zeros((len(open_[m]), len(columns[m]), 2, n_bins))
-                    at, size = at * n_bins, len(open_[m]) * n_bins
-                    for j, f in enumerate(columns[m]):
-                        cell = at + xs[f]
+                        sums[m] = np.zeros((len(open_[m]), 2, wide[m].sum()))
+                    starts, end = {int(w): at * w for w in np.unique(wide[m])}, 0
+                    for f, width in zip(columns[m], wide[m].tolist(), strict=True):
+                        cell, start, end = starts[width] + xs[f], end, end + width
                         for k, w in enumerate((g, h)):
-                            sums[m][:, j, k] += np.bincount(cell, w, size).reshape(-1, n_bins)
+                            sums[m][:, k, start:end] += np.bincount(cell, w, len(open_[m]) * width).reshape(-1, width)
         found = [(m, -1, value) for m, value in losses_of.items()] + [(m, node, value) for m, values in sums.items() for node, value in zip(open_[m], values, strict=True)]
         for m, node, value in found:
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([node], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["model", "node", "sums"])
@@ -411,7 +427,7 @@ def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dic
             if node < 0:
                 out = (m, node, value.tolist(), 0.0, -1, b"", [])
             else:
-                value = value.reshape(len(columns[m]), 2, n_bins)
+                value = whole_bins(value.reshape(2, -1), wide[m], n_bins)
                 found = best_split(value, category[columns[m]], settings)
                 gain, j, left, side = found or (0.0, -1, np.zeros(N_BINS, bool), np.zeros(0))
                 out = (m, node, value[0].sum(axis=1).tolist(), gain, int(columns[m][j]) if found else -1, np.packbits(left, bitorder="little").tobytes(), side.tolist())
@@ -419,8 +435,10 @@ def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dic
 
     names = ["model", "node", "whole", "gain", "feature", "goes_left", "side"]
     schema = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("whole", pa.list_(pa.float64())), ("gain", pa.float64()), ("feature", pa.int32()), ("goes_left", pa.binary()), ("side", pa.list_(pa.float64()))])
-    used = rows.where(F.col("role").isin(TRAIN, VALID) if losses else F.col("role") == TRAIN).select("fold", "role", "n", "x", "y", "margin")
-    n = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(map(len, open_.values())) + len(pending) * losses))
+    folds = sorted({m // per_fold for m in (*open_, *(pending if losses else ()))})
+    used = rows.where(F.col("fold").isin(folds) & (F.col("role").isin(TRAIN, VALID) if losses else F.col("role") == TRAIN)).select("fold", "role", "n", "x", "y", "margin")
+    # a node's sums are small, so one wave of tasks is enough
+    n = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(map(len, open_.values())) + len(pending) * losses))
     parts = used.mapInArrow(add, "model int, node int, sums binary").repartition(n, "model", "node")
     found = parts.mapInArrow(split, "model int, node int, whole array<double>, gain double, feature int, goes_left binary, side array<double>")
     return [r.asDict() for r in found.collect()]  # a row for each open node

@@ -193,6 +193,19 @@ def test_walks_and_sums_are_those_of_every_row_by_itself():
         assert np.array_equal(tree.values(other)[free], tree.values(x)[free])
 
 
+def test_sums_hold_the_bins_of_training_rows_only(spark, rows):
+    """A flag takes three bins of a node's sums and not those of the widest column; no training row is beyond."""
+    table = rows.withColumns({"flag": F.pmod(F.xxhash64("leg_id"), F.lit(2)), "many": F.pmod(F.xxhash64("leg_id"), F.lit(400)).cast("string")})
+    blocks = boost.binned(table, Q.all_folds(table), ["y"], {"a": ["flag", "kind", "many", "noise"]}, ["kind", "many"], boost.Settings(bins=16))
+    assert blocks.widths.shape == (len(blocks.folds), 4) and blocks.widths[:, [0, 1]].max() < 10 < blocks.widths[:, 3].max() == 17
+    assert blocks.widths[:, 2].max() == blocks.n_bins > 200
+    for r in blocks.rows.where(F.col("role") == boost.TRAIN).collect():
+        x = np.frombuffer(r["x"], np.uint8).reshape(4, -1)
+        assert (x.max(axis=1) < blocks.widths[r["fold"]]).all()
+    sums = np.arange(2 * 5.0).reshape(2, 5)
+    assert boost.whole_bins(sums, np.array([2, 3]), 4).tolist() == [[[0, 1, 0, 0], [5, 6, 0, 0]], [[2, 3, 4, 0], [7, 8, 9, 0]]]
+
+
 def test_the_queries_run_all_folds_targets_and_columns(spark):
     got = Q.gbt_rolling(spark, SF).collect()
     years = sorted({r["fold"] for r in got})
