@@ -13,12 +13,13 @@ exact similarity of both sets:
 Within a band's bucket of up to ``BESIDE + 1`` classes all pairs are candidates. In a larger one each
 class first stands beside the ``BESIDE`` next ones in an order that differs by bucket, in chunks of
 about ``UNIT_ROWS``; that connects dense groups, and a bucket whose classes are one group then needs no
-more pairs. Classes that are in such buckets of several groups with more than ``LIGHT`` bands meet under
-longer keys, of two bands and then of three, where texts that only share a passage part: again all pairs
-of small buckets, and neighbours in larger ones. (With fewer, sets of similarity 0.8 have at least 14
-other bands to meet in, and miss each other there six times in 10,000.)
-Two sets of similarity 0.8 agree on two bands or more all but four times in 10,000, on three all but
-three times in 1000; what falls short there still has its chances as neighbours.
+more pairs. The classes of such buckets that hold several groups meet in an exact join, so that no
+pair is left out: shingles are put in one order for all, those that few classes have first, and each
+class has keys of its first ones, as many as leave less than ``LEAST`` of its set. Two sets of that
+similarity share one of these, and where the first that they share stands bounds what they can share at
+all; so texts that only have a passage in common, which stands last, do not become pairs. All pairs of a
+key's groups that can reach the similarity are candidates. Where that many texts are that close to each
+other and yet no group, the pairs are as many as the exact job has; tasks hold ``PAIR_ROWS`` rows of them.
 
 The components of confirmed pairs are the groups.
 
@@ -28,6 +29,9 @@ without an id are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,8 +44,8 @@ from skyledger.llm.op7_simhash import SEED, near_links, shingle_hashes, votes_of
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 4
 BESIDE, UNIT_ROWS = 8, 4096
-#: Bands of the longest keys, and crowded bands with which a class needs none.
-LONGEST, LIGHT = 3, 6
+#: Rows of a key that meet the same number in one task, and places of the table by which shingles are put in order.
+PAIR_ROWS, PLACES = 1024, 1 << 16
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -114,17 +118,54 @@ def candidates(keyed: DataFrame) -> DataFrame:
 
 
 def crowded(keyed: DataFrame) -> DataFrame:
-    """The rows of keys that more than ``BESIDE + 1`` classes of several groups have."""
+    """The classes of keys that more than ``BESIDE + 1`` classes of several groups have."""
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("several")).where((F.col("n") > BESIDE + 1) & F.col("several"))
-    return join_spread(keyed.withColumnRenamed("n", "size"), stash(keys.select("key", "n"), "crowded"), ["key"]).drop("n").withColumnRenamed("size", "n")
-
-
-def longer(rows: DataFrame) -> DataFrame:
-    """``rows`` (``used``, the bands of their key, and ``keys``, those of all bands) under the keys that
-    have one band more."""
-    more = rows.withColumn("band", F.explode(F.sequence(F.lit(0), F.size("keys") - 1))).where(~F.array_contains("used", F.col("band")))
-    more = more.withColumn("used", F.array_sort(F.array_append("used", F.col("band"))))
-    return more.withColumn("key", F.xxhash64("used", F.transform("used", lambda k: F.get("keys", k)))).drop("band").dropDuplicates(["cls", "key"])
+    return keyed.join(keys.select("key"), "key", "left_semi").select("cls").distinct()
+
+
+def first_shingles(sets: DataFrame) -> DataFrame:
+    """``cls, size, key, at``: of each class the first shingles, as many as leave less than ``LEAST`` of
+    its set, each with its place from 0, in an order that is the same for all classes: by how many sets
+    have a shingle of its place in a table of ``PLACES`` counts, few first. Those that no other has are left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("hashes").flatten().to_numpy() & (PLACES - 1), minlength=PLACES)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met])], names=["place", "n"])
+
+    counts = np.zeros(PLACES, np.int64)
+    for r in sets.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most PLACES
+        counts[r["place"]] = r["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, hashes in zip(batch.column("cls").to_pylist(), batch.column("hashes"), strict=True):
+                h = hashes.values.to_numpy()
+                often = counts[h & (PLACES - 1)]
+                first = np.lexsort((h, often))[: len(h) - math.ceil(LEAST * len(h) - 1e-6) + 1]
+                at = np.flatnonzero(often[first] > 1)
+                same = [np.full(len(at), v, np.int64) for v in (cls, len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*same, h[first[at]], at)], names=["cls", "size", "key", "at"])
+
+    return sets.mapInArrow(run, "cls long, size long, key long, at long")
+
+
+def pairs_of_groups(keyed: DataFrame) -> DataFrame:
+    """``a, b``: classes (``cls, size, root, key, at``) of one key and two groups whose sets can have
+    the similarity, if the key is the first that they share. The rows of a key's largest group meet those of the others only."""
+    groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = stash(groups.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1"), "shingle-keys")
+    chunks = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    rows = join_spread(keyed, keys, ["key"]).withColumns({"chunk": F.pmod(F.xxhash64("key", "cls"), chunks).cast("int"), "all": F.sequence(F.lit(0), chunks - 1)})
+    side = lambda p, own, other: [F.col(c).alias(f"{p}_{c}") for c in ("cls", "size", "root", "at")] + [F.col("chunk").alias(own), F.explode("all").alias(other)]
+    left, right = rows.where("root <> largest").select("key", *side("l", "i", "j")), rows.select("key", "largest", *side("r", "j", "i"))
+    once = (F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("largest")) | (F.col("l_cls") < F.col("r_cls")))
+    enough = LEAST / (1 + LEAST) * (F.col("l_size") + F.col("r_size")) - 1e-6
+    near = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) >= enough
+    pairs = left.join(right, ["key", "i", "j"]).where(once & near & (F.least("l_size", "r_size") >= LEAST * F.greatest("l_size", "r_size")))
+    return pairs.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b")).distinct()
 
 
 def linked_classes(classes: DataFrame) -> DataFrame:
@@ -143,36 +184,33 @@ def near_copies(docs: DataFrame) -> DataFrame:
     the group it is in, a class's own one if it has no near copy."""
     marked = stash(marked_rows(docs), "shingle-classes")
     classes = stash(marked.groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("cls", "n", F.col("cls").alias("root"), F.posexplode("keys").alias("band", "key"))
-    links = confirmed(docs, classes, candidates(keyed.drop("band")).unionByName(linked_classes(classes)).distinct())
+    keyed = classes.select("cls", "n", F.col("cls").alias("root"), F.explode("keys").alias("key"))
+    pairs = stash(candidates(keyed).unionByName(linked_classes(classes)).distinct(), "candidates")
+    sets = stash(sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "shingle-sets")
+    links = confirmed(pairs, sets)
+    drop(pairs, sets)
     roots = components(links).select(F.col("node").alias("cls"), "root")
-    rows = keyed.select("cls", "n", "key", F.array("band").alias("used"))
-    for bands in range(2, LONGEST + 1):
-        grouped = rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        hot = crowded(grouped)
-        if bands == 2:
-            hot = stash(hot, "crowded-rows")
-            hot = hot.join(hot.groupBy("cls").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") > LIGHT).select("cls"), "cls", "left_semi")
-        grouped = stash(longer(hot.join(classes.select("cls", "keys"), "cls")).drop("keys"), f"keys-of-{bands}")
-        if grouped.isEmpty():
-            break
-        found = confirmed(docs, classes, candidates(grouped.select("cls", "n", "root", "key")))
-        links = stash(links.unionByName(found), "links")
-        roots, rows = components(links).select(F.col("node").alias("cls"), "root"), grouped.drop("root")
+    rest = stash(crowded(keyed.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))), "crowded")
+    if not rest.isEmpty():
+        sets = stash(sets_of(docs, classes, rest), "shingle-sets")
+        shingles = first_shingles(sets).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        shingles = stash(shingles, "first-shingles")
+        pairs = stash(pairs_of_groups(shingles), "candidates")
+        roots = components(links.unionByName(confirmed(pairs, sets))).select(F.col("node").alias("cls"), "root")
+        drop(pairs, sets, shingles)
     named = classes.select("cls", "least").join(roots, "cls", "left")
     return named.select("cls", "least", F.coalesce("root", "cls").alias("root"))
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidates ``a, b`` whose sets have a similarity of ``LEAST`` or more."""
-    pairs = stash(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``shingle_sets`` of the classes in ``wanted``."""
     rows = classes.join(wanted, "cls").select("cls", "least.doc_id", "least.h")
     # repeated rows go where the join has brought them together, so the sets are not shuffled for that
-    texts = identified(docs).join(rows, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    sets = stash(shingle_sets(texts), "shingle-sets")
+    return shingle_sets(identified(docs).join(rows, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates ``a, b`` whose sets have a similarity of ``LEAST`` or more."""
     left, right = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    near = stash(pairs.join(left, "a").join(right, "b").where(both >= LEAST * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
-    drop(pairs, sets)
-    return near
+    return stash(pairs.join(left, "a").join(right, "b").where(both >= LEAST * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")

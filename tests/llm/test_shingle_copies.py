@@ -72,3 +72,39 @@ def test_sets_and_keys():
     assert near_copies.shingle_set(b"Two words").tolist() == near_copies.shingle_set(b"two  WORDS").tolist()
     a = near_copies.shingle_set(b"a b c d e f g a b c d e")
     assert len(a) == 7 and len(near_copies.band_keys(a)) == near_copies.BANDS
+
+
+def test_no_pair_is_left_out_of_a_bucket_of_near_misses(spark, monkeypatch):
+    """Texts that are all just too far from each other, and share nearly all bands: true copies among them
+    are neighbours by chance only, and longer keys do not part them."""
+    monkeypatch.setattr(near_copies, "BESIDE", 1)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(174)]
+    texts = [shared + [word() for _ in range(26)] for _ in range(500)]
+    copies = [t[:174] + edited(t[174:], rng, 3) for t in texts[:40]]
+    texts = [" ".join(t) for t in texts + copies]
+    far, near = [jaccard(texts[0], texts[k]) for k in (1, 70)], [jaccard(texts[k], texts[500 + k]) for k in range(40)]
+    assert 0.74 < min(far) and max(far) < 0.8 and min(near) >= 0.8
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    found = near_copies.near_copies(docs).groupBy("root").agg({"least": "min"}).collect()
+    assert {r[1]["doc_id"] for r in found} == set(range(500))
+
+
+def test_pairs_of_groups_are_all_that_are_near_and_few_more(spark, monkeypatch):
+    """Against all pairs, with units of few rows; pairs within a group are left out."""
+    monkeypatch.setattr(near_copies, "PAIR_ROWS", 8)
+    rng = random.Random(12)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(1, 1 << 40), rng.randrange(5, 90))
+        sets += [sorted({*rng.sample(base, len(base) - k), *(rng.randrange(1, 1 << 40) for _ in range(k))}) for k in (0, 0, *(rng.randrange(1 + len(base) // 6) for _ in range(10)))]
+    roots = [k % 3 for k in range(len(sets))]
+    table = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "cls long, hashes array<long>")
+    first = near_copies.first_shingles(table).join(spark.createDataFrame(list(enumerate(roots)), "cls long, root long"), "cls")
+    pairs = near_copies.pairs_of_groups(first)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j] and alike(i, j) >= near_copies.LEAST}
+    assert len(want) > 50 and want <= got and all(roots[i] != roots[j] for i, j in got)
+    assert {(r["a"], r["b"]) for r in near_copies.confirmed(pairs, table).collect()} == want
