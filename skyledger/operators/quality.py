@@ -114,6 +114,13 @@ def table_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str
     return found.select(*keys, kind.alias("kind"))
 
 
+#: Columns of features that ``leakage_report`` reads.
+CHECKED = (
+    "year", "ym", "route", "flight_date", "origin_icao", "sched_dep_hour", "origin_movements_hour", "origin_p90_hour", "is_holiday", "route_late15_l1",
+    "prev_leg", "prev_turnaround_min", "late15_arr", "is_realized", "actual_time_suspect",
+)
+
+
 def leakage_report(features: DataFrame, legs: DataFrame, fact: DataFrame, used: list[str], holidays: DataFrame) -> DataFrame:
     """One row a check: ``name, passed, detail``."""
     spark = features.sparkSession

@@ -165,3 +165,13 @@ def test_ranges_of_staged_files_are_as_many_as_tasks(spark, tmp_path, monkeypatc
     staged = raw.read_staged(spark, str(tmp_path / "staged"))
     sizes = [r["count"] for r in staged.groupBy(F.col("_metadata.file_path")).count().collect()]
     assert max(sizes) <= 50 and sum(sizes) == rows.count()
+
+
+def test_the_leakage_report_makes_features_once(spark, capsys):
+    """Its checks read a written table: no plan of theirs makes inbound legs anew."""
+    from skyledger.plans import queries
+
+    report = queries.leakage_report(spark, SF)
+    report.explain()
+    assert "landed" not in capsys.readouterr().out
+    assert report.count() == 9 and report.where("not passed").isEmpty()
