@@ -11,9 +11,12 @@ exact similarity of both sets:
   each other in all bands three times in 100,000.
 
 Within a band's bucket of up to ``BESIDE + 1`` classes all pairs are candidates. In a larger one each
-class first stands beside the ``BESIDE`` next ones in an order that differs by bucket, in chunks of
-about ``UNIT_ROWS``; that connects dense groups, and a bucket whose classes are one group then needs no
-more pairs. The classes of such buckets that hold several groups meet in an exact join, so that no
+class first stands beside the next one in an order that differs by bucket, in chunks of about
+``UNIT_ROWS``. As a class has many bands, that connects dense groups, with few pairs that say the same
+again; a bucket whose classes are one group then needs no more pairs. Where one group has most classes of
+a bucket, but not all, each class stands beside the two next ones in another order, of which those of its
+own group are passed by: that joins to the group most of what is left of it.
+The classes of buckets that still hold several groups meet in an exact join, so that no
 pair is left out: shingles are put in one order for all, those that few classes have first, and each
 class has keys of its first ones, as many as leave less than ``LEAST`` of its set. Two sets of that
 similarity share one of these, and where the first that they share stands bounds what they can share at
@@ -104,23 +107,28 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return map_texts(rows.select("cls", "text"), step, "cls long, hashes array<long>")
 
 
-def candidates(keyed: DataFrame) -> DataFrame:
+def candidates(keyed: DataFrame, salt: int = 0) -> DataFrame:
     """``a, b``: classes (``cls, n, root``, and a ``key``) that meet in a bucket, are not in one group
-    yet, and whose sizes allow the similarity."""
+    yet, and whose sizes allow the similarity. In large buckets a class meets the next one in the first
+    order (``salt`` 0), and the two next ones in the second (1)."""
     shared = stash(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-keys")
-    order = F.xxhash64("cls", "key")
+    order = F.xxhash64("cls", "key", F.lit(salt)) if salt else F.xxhash64("cls", "key")
+    reach = F.when(F.col("n") > BESIDE + 1, 1 + salt).otherwise(BESIDE)
     met = join_spread(keyed.withColumnRenamed("n", "size"), shared, ["key"])
-    dealt = met.select("key", "cls", "root", F.col("size").alias("n"), order.alias("order"), F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("n") / UNIT_ROWS)).alias("chunk"))
+    dealt = met.select("key", "cls", "root", F.col("size").alias("n"), reach.alias("reach"), order.alias("order"), F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("n") / UNIT_ROWS)).alias("chunk"))
     along = Window.partitionBy("key", "chunk").orderBy("order", "cls").rowsBetween(1, BESIDE)
-    beside = dealt.select("cls", "n", "root", F.collect_list(F.struct("cls", "n", "root")).over(along).alias("beside"))
-    pairs = beside.select("cls", "n", "root", F.explode("beside").alias("o")).where((F.least("n", "o.n") >= LEAST * F.greatest("n", "o.n")) & (F.col("root") != F.col("o.root")))
+    beside = dealt.withColumn("beside", F.collect_list(F.struct("cls", "n", "root")).over(along))
+    pairs = beside.select("cls", "n", "root", F.explode(F.slice("beside", 1, F.col("reach"))).alias("o")).where((F.least("n", "o.n") >= LEAST * F.greatest("n", "o.n")) & (F.col("root") != F.col("o.root")))
     return pairs.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).where("a <> b").distinct()
 
 
 def crowded(keyed: DataFrame) -> DataFrame:
-    """The classes of keys that more than ``BESIDE + 1`` classes of several groups have."""
-    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("several")).where((F.col("n") > BESIDE + 1) & F.col("several"))
-    return keyed.join(keys.select("key"), "key", "left_semi").select("cls").distinct()
+    """The rows of keys that more than ``BESIDE + 1`` classes of several groups have, and whether one
+    group has most of these (``led``)."""
+    groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = groups.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("groups"))
+    found = keys.where((F.col("all") > BESIDE + 1) & (F.col("groups") > 1))
+    return keyed.join(found.select("key", (2 * F.col("most") > F.col("all")).alias("led")), "key")
 
 
 def first_shingles(sets: DataFrame) -> DataFrame:
@@ -179,6 +187,11 @@ def linked_classes(classes: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def in_groups(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of classes with the ``root`` of the group that each is in, its own one if it has none."""
+    return rows.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``cls, least, root`` for each class of the rows with an id: its least row ``(doc_id, h)`` and
     the group it is in, a class's own one if it has no near copy."""
@@ -190,14 +203,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = confirmed(pairs, sets)
     drop(pairs, sets)
     roots = components(links).select(F.col("node").alias("cls"), "root")
-    rest = stash(crowded(keyed.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))), "crowded")
+    rest = stash(crowded(in_groups(keyed, roots)), "crowded")
     if not rest.isEmpty():
-        sets = stash(sets_of(docs, classes, rest), "shingle-sets")
-        shingles = first_shingles(sets).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        shingles = stash(shingles, "first-shingles")
-        pairs = stash(pairs_of_groups(shingles), "candidates")
-        roots = components(links.unionByName(confirmed(pairs, sets))).select(F.col("node").alias("cls"), "root")
-        drop(pairs, sets, shingles)
+        pairs, sets = stash(candidates(rest.where("led").drop("led"), 1), "candidates"), stash(sets_of(docs, classes, rest.select("cls").distinct()), "shingle-sets")
+        links = links.unionByName(confirmed(pairs, sets))
+        drop(pairs)
+        roots = components(links).select(F.col("node").alias("cls"), "root")
+        apart = stash(crowded(in_groups(rest.drop("led"), roots)).select("cls").distinct(), "crowded")
+        if not apart.isEmpty():
+            shingles = stash(in_groups(first_shingles(sets.join(apart, "cls", "left_semi")), roots), "first-shingles")
+            pairs = stash(pairs_of_groups(shingles), "candidates")
+            roots = components(links.unionByName(confirmed(pairs, sets))).select(F.col("node").alias("cls"), "root")
+            drop(pairs, shingles)
+        drop(sets, apart)
     named = classes.select("cls", "least").join(roots, "cls", "left")
     return named.select("cls", "least", F.coalesce("root", "cls").alias("root"))
 

@@ -108,3 +108,18 @@ def test_pairs_of_groups_are_all_that_are_near_and_few_more(spark, monkeypatch):
     want = {(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j] and alike(i, j) >= near_copies.LEAST}
     assert len(want) > 50 and want <= got and all(roots[i] != roots[j] for i, j in got)
     assert {(r["a"], r["b"]) for r in near_copies.confirmed(pairs, table).collect()} == want
+
+
+def test_a_large_group_is_connected_by_few_pairs(spark, monkeypatch):
+    """Many near copies of one text share nearly all bands: most pairs would only say again what others
+    have said. No link is lost, also not that of the copies further out."""
+    real, asked = near_copies.confirmed, []
+    monkeypatch.setattr(near_copies, "confirmed", lambda pairs, sets: asked.append(pairs.count()) or real(pairs, sets))
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [edited(base, rng, rng.choice((1, 1, 2, 2, 2, 5))) for _ in range(600)]
+    texts += [[f"v{rng.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    found = near_copies.near_copies(docs).groupBy("root").agg({"least": "min"}).collect()
+    assert {r[1]["doc_id"] for r in found} == {0, *range(600, 620)}
+    assert sum(asked) < 30 * len(texts)
