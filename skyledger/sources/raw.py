@@ -3,11 +3,16 @@ by position, and typed afterwards; what cannot be read becomes null."""
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -203,10 +208,90 @@ def write_csv_gz(df: DataFrame, path: str, keys: list[str], digits: int = 6) ->
     df.withColumns(floats).orderBy(*keys).write.option("compression", "gzip").option("header", True).mode("overwrite").csv(path)
 
 
+#: Bytes up to which a file is hashed as one value, and names whose files Spark would unpack as lines.
+WHOLE_BYTES, PACKED = 128 << 20, r"\.(gz|bz2|zst|lz4|snappy|deflate|lzo)$"
+
+
+class Sha256:
+    """SHA-256 with a state that one task can hand to the next: the context of the library below hashlib."""
+
+    CONTEXT_BYTES = 112
+
+    def __init__(self, state: bytes | None = None):
+        import _hashlib
+
+        self.library = ctypes.CDLL(_hashlib.__file__)
+        self.context = ctypes.create_string_buffer(state or b"", self.CONTEXT_BYTES)
+        if state is None:
+            self.library.SHA256_Init(self.context)
+
+    def update(self, data: bytes) -> None:
+        self.library.SHA256_Update(self.context, data, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.context.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.library.SHA256_Final(out, ctypes.create_string_buffer(self.context.raw, self.CONTEXT_BYTES))
+        return out.raw.hex()
+
+
+def unglobbed(path: str) -> str:
+    """The path of one file, whatever signs it has."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def sha256_by_parts(spark: SparkSession, path: str, size: int) -> str:
+    """The SHA-256 of a file of any size. It depends on the bytes in order, so a task for each split of the
+    file takes up the state that the one before it left; 112 bytes pass through the driver. Bytes are read as lines, which
+    Spark splits, and a line must be below 2 GB."""
+    lines = spark.read.option("lineSep", "\n").text(unglobbed(path)).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("start"))
+    parts = lines.rdd.getNumPartitions()
+
+    def step(state: bytes, begun: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digest, n, going, start = Sha256(state), 0, begun, None
+            for batch in batches:
+                if batch.num_rows:
+                    start = batch.column("start")[0].as_py() if start is None else start
+                    block = (b"\n" if going else b"") + b"\n".join(batch.column("line").to_pylist())
+                    digest.update(block)
+                    n, going = n + len(block), True
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((digest.state(), pa.binary()), (n, pa.int64()), (going, pa.bool_()), (start, pa.int64()))], names=["state", "n", "begun", "start"])
+
+        return lines.mapInArrow(run, "state binary, n long, begun boolean, start long")
+
+    for mark in (b"", b"\xef\xbb\xbf"):  # of a file that begins with the second one, the reader leaves it out
+        digest, n, begun, last = Sha256(), len(mark), False, -1
+        digest.update(mark)
+        for k in range(parts):
+            (r,) = spark.sparkContext.runJob(step(digest.state(), begun).rdd, list, [k])
+            if r["start"] is not None and r["start"] <= last:
+                raise ValueError(f"{path}: its splits are not in order")
+            digest, n, begun, last = Sha256(bytes(r["state"])), n + r["n"], r["begun"], last if r["start"] is None else r["start"]
+        if n == size - 1:  # the end of the last line
+            digest.update(b"\n")
+        if n in (size, size - 1):
+            return digest.hexdigest()
+    raise ValueError(f"{path}: {n} bytes read, {size} listed")
+
+
 def manifest(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
-    """``file, path, bytes, sha256`` of each file, read by the executors."""
+    """``file, path, bytes, sha256`` of each file, read by the executors: files of more than ``WHOLE_BYTES``
+    split by split, a few at a time, and others as one value. Packed ones (``PACKED``) are one value always, below 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    shown = lambda rows: rows.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "path", F.col("length").alias("bytes"), "sha256")
+    whole = lambda rows: shown(rows.withColumn("sha256", F.sha2("content", 256)))
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", "length").collect()  # a row a large file, without its content
+    if not large:
+        return whole(files)
+    out = whole(files.where(F.col("length") <= WHOLE_BYTES))  # the reader takes this filter, so others' content is not read
+    if packed := [unglobbed(r["path"]) for r in large if re.search(PACKED, r["path"])]:
+        out = out.unionByName(whole(spark.read.format("binaryFile").load(packed)))
+    with ThreadPoolExecutor(8) as pool:
+        sums = list(pool.map(lambda r: (*r, sha256_by_parts(spark, *r)), [r for r in large if not re.search(PACKED, r["path"])]))
+    return out.unionByName(shown(spark.createDataFrame(sums, "path string, length long, sha256 string")))
 
 
 def new_files(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import datetime
+import gzip
+import hashlib
 import math
 import random
 
@@ -204,3 +206,22 @@ def test_stream_of_new_files(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < got.agg(F.sum("movements")).first()[0] <= legs.where("year(sched_dep) < 1996").count()
     assert Q.duplicates(got, ["node", "hour"]).isEmpty()
+
+
+def test_large_files_are_hashed_split_by_split(spark, tmp_path, monkeypatch):
+    """No value may hold such a file; names, marks and ends that a reader of lines would change are kept."""
+    rng = random.Random(3)
+    mark, some = b"\xef\xbb\xbf", rng.randbytes(40_000)
+    files = {"a": some, "b.csv": some + b"\n", "c": mark + some, "d": mark + some + b"\r\n", "e": b"x" * 30_000, "f[1] {2}.bin": b"\n" * 20_000, "g": b"\n" + some.replace(b"\n", b"\r"), "small": b"x\n", "h.gz": gzip.compress(some[:4000] * 2)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(S, "WHOLE_BYTES", 5000)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "9000", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        rows = S.manifest(spark, str(tmp_path)).collect()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert {(r["file"], r["bytes"], r["sha256"]) for r in rows} == {(k, len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
