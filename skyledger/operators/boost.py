@@ -3,10 +3,12 @@
 A model is one fold, one 0/1 target and one list of features. Rows are dealt to the folds that they
 train, validate or test, their features are binned once to bytes (a number by the quantiles of its
 fold's training rows, a category by its rank among them, null to a bin of its own), and blocks of
-rows are written as files. Every further pass runs over the blocks: a task adds up gradients by
-model, node, feature and bin for all models, Spark sends what belongs to a node to one task, which
-adds it up and looks for the best split, and the driver gets one row a node. So a level of the trees
-of all models is one pass, whatever the rows are.
+rows are written as files. Every further pass runs over the training rows of the blocks, with features
+packed to bundles of a byte: a task adds up gradients by model, node, feature and bin for all models,
+Spark sends what belongs to a node to one task, which adds it up and looks for the best split, and the
+driver gets one row a node. So a level of the trees of all models is one pass, whatever the rows are. Of
+two siblings only the rows of the one with the lesser sum of second derivatives are added up: the sums are whole numbers, so
+the other's are what is left of their parent's, exactly.
 
 Nulls go to the side that gains more; categories are ordered by their gradients and cut like
 numbers. Gradients are whole multiples of ``1 / UNIT``, so that sums do not depend on their order.
@@ -18,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +37,11 @@ UNIT, NO_LABEL = float(1 << 20), 255
 NULL_BIN, MOST_CATEGORIES = 0, 254
 #: Bins that a byte can tell apart.
 N_BINS = 256
-#: Share of a block's rows that count, below which those are copied out before they are added up.
-FEW = 0.4
+#: Rows whose derivatives are added up as one number, and the bits of the second one in it: 4095 times 2 ** 18
+#: fits in them, and 4095 times 2 ** 20 in those above, with a sign.
+PACKED_ROWS, LOW_BITS = 4095, 31
+#: Rows that a task adds up at a time, and bytes of sums that the driver holds for the nodes' siblings.
+LEVEL_ROWS, HELD_BYTES = 32_768, 64 << 20
 #: Whole units of a margin, and how many of them a bin of margins has.
 MARGIN_UNIT, MARGIN_BIN = 1_000_000_000, 15_625_000
 #: Distinct numbers that a task holds, of all years and columns, before it hands them on.
@@ -362,92 +369,250 @@ def whole_bins(sums: np.ndarray, widths: np.ndarray, n_bins: int) -> np.ndarray:
     return out
 
 
-def _level(blocks: Blocks, rows: DataFrame, trees: dict[int, Tree], pending: dict[int, list[Tree]], open_: dict[int, list[int]], seen: dict[int, np.ndarray], level: int, settings: Settings, losses: bool) -> list[dict]:
-    """One pass: for every open node of every model its sums and best split, and with ``losses`` the
-    validation loss of each model in ``pending`` (node -1). A node's sums have, for each feature, only the
-    bins that its fold's rows can be in, one feature after the other; folds of ended models are not read."""
+class Joint:
+    """Features of one fold in bundles. A bundle has a cell for each combination of its features' bins, as many as
+    a byte can tell apart, so a row is read and added up once a bundle and not once a feature; a feature's sums are those of
+    its cells. A category's bin that no training row has is one more. Features that other lists have (``kinds``) are not mixed."""
+
+    def __init__(self, widths: np.ndarray, category: np.ndarray, n_bins: int, kinds: list):
+        self.widths, self.n_bins, self.bundles = widths.tolist(), n_bins, []
+        self.codes = [w + 1 if c and w < n_bins else w for w, c in zip(self.widths, category, strict=True)]
+        for f in sorted(range(len(self.codes)), key=lambda f: (-self.codes[f], f)):
+            fits = (b for b in self.bundles if kinds[b[0]] == kinds[f] and self.size(b) * self.codes[f] <= N_BINS)
+            if (b := next(fits, None)) is None:
+                self.bundles.append([f])
+            else:
+                b.append(f)
+        self.starts = np.cumsum([0, *map(self.size, self.bundles)]).tolist()
+        self.place = {f: (k, i) for k, b in enumerate(self.bundles) for i, f in enumerate(b)}
+
+    def size(self, bundle: list[int]) -> int:
+        return prod(self.codes[f] for f in bundle)
+
+    def shape(self, k: int) -> list[int]:
+        return [self.codes[f] for f in self.bundles[k]]
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cells of rows (bundles by rows) out of their bins (features by rows)."""
+        out = np.zeros((len(self.bundles), x.shape[1]), np.uint8)
+        for cell, b in zip(out, self.bundles, strict=True):
+            for f in b:
+                cell *= np.uint8(self.codes[f] & 255)  # 256 codes have a bundle of their own, which is 0 up to here
+                cell += np.minimum(x[f], self.codes[f] - 1).astype(np.uint8)
+        return out
+
+    def holding(self, columns: np.ndarray) -> list[int]:
+        """The bundles that have any of these features."""
+        return sorted({self.place[f][0] for f in columns.tolist()})
+
+    def tree(self, tree: Tree) -> Tree:
+        """``tree`` over cells: each node asks for a bundle, and the cells go where their bins went."""
+        out = Tree(tree.feature.copy(), tree.left.copy(), tree.value, tree.gain)
+        for node in np.flatnonzero(tree.feature >= 0):
+            f = int(tree.feature[node])
+            k, i = self.place[f]
+            of = np.unravel_index(np.arange(self.starts[k + 1] - self.starts[k]), self.shape(k))[i]
+            of = np.where(of < self.widths[f], of, self.n_bins - 1)
+            left = np.zeros(N_BINS, bool)
+            left[: len(of)] = np.unpackbits(tree.left[node], bitorder="little")[of]
+            out.feature[node], out.left[node] = k, np.packbits(left, bitorder="little")
+        return out
+
+    def apart(self, sums: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """``sums`` (nodes by 2 by cells) as nodes by 2 by the bins of ``columns`` in turn."""
+        out = []
+        for f in columns.tolist():
+            k, i = self.place[f]
+            whole = sums[:, :, self.starts[k] : self.starts[k + 1]].reshape(*sums.shape[:2], *self.shape(k))
+            out.append(whole.sum(axis=tuple(2 + j for j in range(len(self.bundles[k])) if j != i))[:, :, : self.widths[f]])
+        return np.concatenate(out, axis=2).astype(float)
+
+
+class Sums:
+    """Gradients of one model by node and cell. Both derivatives are one number while at most
+    ``PACKED_ROWS`` rows of a node are in it, and are then taken apart, so a row is added once for both."""
+
+    def __init__(self, n_nodes: int, joint: Joint, columns: np.ndarray):
+        self.joint, self.columns, self.n_cells = joint, columns, joint.starts[-1]
+        self.bundles = joint.holding(columns)
+        self.packed = np.zeros((n_nodes, self.n_cells), np.int64)
+        self.whole = np.zeros((n_nodes, 2, self.n_cells), np.int64)
+        self.held = np.zeros(n_nodes, np.int64)
+
+    def add(self, cells: np.ndarray, rows: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        """``rows`` of ``cells``, each with its node's place and its derivatives in units."""
+        packed, flat = (g.astype(np.int64) << LOW_BITS) + h.astype(np.int64), self.packed.ravel()
+        for a in range(0, len(rows), PACKED_ROWS):
+            part = slice(a, a + PACKED_ROWS)
+            here, both = rows[part], packed[part]
+            n = np.bincount(slot[part], minlength=len(self.held))
+            for k in np.flatnonzero((n > 0) & (self.held + n > PACKED_ROWS)):
+                self.unpack(k)
+            self.held += n
+            base = slot[part] * self.n_cells
+            for k in self.bundles:
+                np.add.at(flat[self.joint.starts[k] :], base + cells[k].take(here), both)
+
+    def unpack(self, k: int) -> None:
+        self.whole[k, 0] += self.packed[k] >> LOW_BITS
+        self.whole[k, 1] += self.packed[k] & ((1 << LOW_BITS) - 1)
+        self.packed[k], self.held[k] = 0, 0
+
+    def done(self) -> np.ndarray:
+        """The sums as nodes by 2 by the bins of the features in turn."""
+        for k in np.flatnonzero(self.held):
+            self.unpack(k)
+        return self.joint.apart(self.whole, self.columns)
+
+
+def _joints(blocks: Blocks) -> list[Joint]:
+    category = np.array([c in blocks.categorical for c in blocks.features])
+    kinds = [tuple(c in found for found in blocks.lists.values()) for c in blocks.features]
+    return [Joint(widths, category, blocks.n_bins, kinds) for widths in blocks.widths]
+
+
+def _chunks(blocks: Blocks, joints: list[Joint], role: int, models: set[int]) -> RDD:
+    """The blocks of ``role`` as ``(fold, cells, y, margins of models)``, neighbours of a fold together as far as
+    ``LEVEL_ROWS`` rows. They are read a hundred times and more, so they are kept as bytes that Spark hands on as they are,
+    on the executors' disks; a lost part is made anew."""
+    per_fold = blocks.per_fold
+
+    def joined(fold: int, held: list[tuple]) -> tuple:
+        x, y, margin = (np.concatenate(part, axis=1) for part in zip(*held, strict=True))
+        return fold, joints[fold].cells(x), y, {m: margin[m % per_fold] for m in range(fold * per_fold, (fold + 1) * per_fold) if m in models}
+
+    def run(rows: Iterator) -> Iterator[tuple]:
+        held, last, n = [], -1, 0
+        for r in rows:
+            if held and (r["fold"] != last or n + r["n"] > LEVEL_ROWS):
+                yield joined(last, held)
+                held, n = [], 0
+            held.append(tuple(np.frombuffer(r[c], kind).reshape(-1, r["n"]) for c, kind in (("x", np.uint8), ("y", np.uint8), ("margin", np.float32))))
+            last, n = r["fold"], n + r["n"]
+        if held:
+            yield joined(last, held)
+
+    folds = sorted({m // per_fold for m in models})
+    rows = blocks.rows.where(F.col("fold").isin(folds) & (F.col("role") == role)).select("fold", "n", "x", "y", "margin")
+    return rows.rdd.mapPartitions(run).persist(StorageLevel.DISK_ONLY)
+
+
+def _stored(chunks: RDD, joints: list[Joint], pending: dict[int, list[Tree]], per_fold: int) -> RDD:
+    """The chunks with the margins after the trees in ``pending``, of its models alone."""
+
+    def run(found: Iterator[tuple]) -> Iterator[tuple]:
+        walks = {m: [Walk(joints[m // per_fold].tree(tree)) for tree in trees] for m, trees in pending.items()}
+        for fold, x, y, margins in found:
+            new = {}
+            for m, margin in margins.items():
+                if m in walks:
+                    margin = margin.astype(float)
+                    for walk in walks[m]:
+                        margin += walk.values(x)
+                    new[m] = margin.astype(np.float32)
+            if new:
+                yield fold, x, y, new
+
+    return chunks.mapPartitions(run).persist(StorageLevel.DISK_ONLY)
+
+
+def _level(blocks: Blocks, joints: list[Joint], train: RDD, valid: RDD | None, trees: dict[int, Tree], pending: dict[int, list[Tree]], open_: dict[int, list[int]], parents: dict[tuple[int, int], np.ndarray], seen: dict[int, np.ndarray], level: int, settings: Settings) -> list[dict]:
+    """One pass: for every open node of every model its sums and best split, and with ``valid`` the
+    validation loss of each model in ``pending`` (node -1). A node whose parent's sums are in ``parents`` stands for its
+    sibling too, which has what it leaves of them. Sums that are split are given back for the next level, as long as all are
+    below ``HELD_BYTES``; they have, for each feature, only the bins that its fold's rows can be in, one feature after the other."""
     per_fold, n_lists, columns = blocks.per_fold, len(blocks.lists), {m: blocks.columns(m)[seen[m]] for m in open_}
     category = np.array([c in blocks.categorical for c in blocks.features])
     n_bins = blocks.n_bins
     wide = {m: blocks.widths[m // per_fold][columns[m]] for m in open_}
+    n_nodes = {m: sum(1 + ((m, (node - 1) // 2) in parents) for node in nodes) for m, nodes in open_.items()}
+    keep = level + 1 < settings.depth and 16 * sum(int(wide[m].sum()) * n for m, n in n_nodes.items()) <= HELD_BYTES
+
+    def walked(models: dict) -> dict[int, list[Walk]]:
+        return {m: [Walk(joints[m // per_fold].tree(tree)) for tree in pending[m]] for m in models}
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        losses_of: dict[int, np.ndarray] = {}
-        before = {m: [Walk(tree) for tree in pending[m]] for m in pending}
-        grown = {m: Walk(trees[m], level) for m in open_} if level else {}
+    def loss(found: Iterator[tuple]) -> Iterator[tuple]:
+        before, losses = walked(pending), {}
+        for _, x, y, margins in found:
+            for m, margin in margins.items():
+                if m not in before:
+                    continue
+                used = np.flatnonzero(y[m % per_fold // n_lists] != NO_LABEL)
+                label, margin = y[m % per_fold // n_lists].take(used), margin.take(used).astype(float)
+                for walk in before[m]:
+                    margin = margin + walk.values(x, used)
+                own = np.logaddexp(0, margin) - label * margin
+                losses[m] = losses.get(m, 0) + np.array([own.sum(), len(own)])
+        for m, value in losses.items():
+            yield (m, -1), value
+
+    def add(found: Iterator[tuple]) -> Iterator[tuple]:
+        before, last, sums = walked(open_), -1, {}
+        grown = {m: Walk(joints[m // per_fold].tree(trees[m]), level) for m in open_} if level else {}
         slots = {m: np.full(len(trees[m].feature), -1) for m in open_}
         for m, slot in slots.items():
             slot[open_[m]] = np.arange(len(open_[m]))
-        for batch in batches:
-            row = {c: batch.column(c) for c in ("n", "x", "y", "margin")}
-            for i in range(batch.num_rows):
-                fold, role = batch.column("fold")[i].as_py(), batch.column("role")[i].as_py()
-                own = [m for m in range(fold * per_fold, (fold + 1) * per_fold) if m in (pending if role == VALID else open_)]
-                if not own:
-                    continue
-                x, y, margins = _block(row, i, per_fold)
-                for m in own:
-                    label, margin = y[m % per_fold // n_lists], margins[m % per_fold]
-                    for walk in before[m]:
-                        margin = margin + walk.values(x)
-                    used = label != NO_LABEL
-                    if role == VALID:
-                        label, margin = label[used], margin[used]
-                        loss = np.logaddexp(0, margin) - label * margin
-                        losses_of[m] = losses_of.get(m, 0) + np.array([loss.sum(), len(loss)])
-                        continue
-                    at = slots[m].take(grown[m].nodes(x)) if level else np.zeros(x.shape[1], np.intp)
+        for fold, x, y, margins in found:
+            if fold != last:
+                yield from done(sums)
+                last, sums = fold, {m: Sums(len(open_[m]), joints[fold], columns[m]) for m in margins if m in open_}
+            for m, of in sums.items():
+                label = y[m % per_fold // n_lists]
+                used = label != NO_LABEL
+                if level:
+                    at = slots[m].take(grown[m].nodes(x))
                     used &= at >= 0
-                    g, h = gradients(margin, label)
-                    xs, n_used = x, np.count_nonzero(used)
-                    if n_used < FEW * len(used):
-                        rows_ = np.flatnonzero(used)
-                        xs, at, g, h = x.take(rows_, axis=1), at.take(rows_), g.take(rows_), h.take(rows_)
-                    elif n_used < len(used):  # rows that do not count add nothing to the first node
-                        at, g, h = at * used, g * used, h * used
-                    if m not in sums:
-                        sums[m] = np.zeros((len(open_[m]), 2, wide[m].sum()))
-                    starts, end = {int(w): at * w for w in np.unique(wide[m])}, 0
-                    for f, width in zip(columns[m], wide[m].tolist(), strict=True):
-                        cell, start, end = starts[width] + xs[f], end, end + width
-                        for k, w in enumerate((g, h)):
-                            sums[m][:, k, start:end] += np.bincount(cell, w, len(open_[m]) * width).reshape(-1, width)
-        found = [(m, -1, value) for m, value in losses_of.items()] + [(m, node, value) for m, values in sums.items() for node, value in zip(open_[m], values, strict=True)]
-        for m, node, value in found:
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([node], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["model", "node", "sums"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                here = np.flatnonzero(used)
+                margin = margins[m].take(here).astype(float)
+                for walk in before[m]:
+                    margin = margin + walk.values(x, here)
+                of.add(x, here, at.take(here) if level else np.zeros(len(here), np.intp), *gradients(margin, label.take(here)))
+        yield from done(sums)
+
+    def done(sums: dict[int, Sums]) -> Iterator[tuple]:
+        for m, of in sums.items():
+            yield from (((m, node), value.copy()) for node, value in zip(open_[m], of.done(), strict=True))
+
+    def split(found: Iterator[tuple]) -> Iterator[dict]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for m, node, value in zip(batch.column("model").to_pylist(), batch.column("node").to_pylist(), batch.column("sums"), strict=True):
-                got = np.frombuffer(value.as_buffer())
-                sums[m, node] = sums[m, node] + got if (m, node) in sums else got
+        for at, value in found:
+            sums[at] = sums[at] + value if at in sums else value
         for (m, node), value in sums.items():
             if node < 0:
-                out = (m, node, value.tolist(), 0.0, -1, b"", [])
-            else:
-                value = whole_bins(value.reshape(2, -1), wide[m], n_bins)
-                found = best_split(value, category[columns[m]], settings)
-                gain, j, left, side = found or (0.0, -1, np.zeros(N_BINS, bool), np.zeros(0))
-                out = (m, node, value[0].sum(axis=1).tolist(), gain, int(columns[m][j]) if found else -1, np.packbits(left, bitorder="little").tobytes(), side.tolist())
-            yield pa.RecordBatch.from_pylist([dict(zip(names, out, strict=True))], schema=schema)
-
-    names = ["model", "node", "whole", "gain", "feature", "goes_left", "side"]
-    schema = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("whole", pa.list_(pa.float64())), ("gain", pa.float64()), ("feature", pa.int32()), ("goes_left", pa.binary()), ("side", pa.list_(pa.float64()))])
-    folds = sorted({m // per_fold for m in (*open_, *(pending if losses else ()))})
-    used = rows.where(F.col("fold").isin(folds) & (F.col("role").isin(TRAIN, VALID) if losses else F.col("role") == TRAIN)).select("fold", "role", "n", "x", "y", "margin")
+                yield {"model": m, "node": node, "whole": value}
+                continue
+            both, parent = [(node, value)], (m, (node - 1) // 2)
+            if parent in parents:
+                both.append((node + 1 if node % 2 else node - 1, parents[parent] - value))
+            for node_, value_ in both:
+                whole = whole_bins(value_, wide[m], n_bins)
+                gain, j, left, side = best_split(whole, category[columns[m]], settings) or (0.0, -1, np.zeros(N_BINS, bool), np.zeros(2))
+                yield {"model": m, "node": node_, "whole": whole[0].sum(axis=1), "gain": gain, "feature": int(columns[m][j]) if j >= 0 else -1, "left": np.packbits(left, bitorder="little"), "side": side, "sums": value_ if j >= 0 and keep else None}
+
+    parts = [rows.mapPartitions(run) for rows, run in ((train if open_ else None, add), (valid, loss)) if rows is not None]
     # a node's sums are small, so one wave of tasks is enough
-    n = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(map(len, open_.values())) + len(pending) * losses))
-    parts = used.mapInArrow(add, "model int, node int, sums binary").repartition(n, "model", "node")
-    found = parts.mapInArrow(split, "model int, node int, whole array<double>, gain double, feature int, goes_left binary, side array<double>")
-    return [r.asDict() for r in found.collect()]  # a row for each open node
+    n = max(1, min(train.context.defaultParallelism, sum(map(len, open_.values())) + len(pending) * (valid is not None)))
+    met = train.context.union(parts).partitionBy(n, lambda at: 31 * at[0] + at[1])
+    return met.mapPartitions(split).collect()  # a row for each open node, with at most HELD_BYTES of sums in all
 
 
 def boost(blocks: Blocks, settings: Settings, only: set[int] | None = None) -> dict[int, list[Tree]]:
     """The trees of each model (of ``only`` those, by number)."""
-    rows = blocks.rows
     trees: dict[int, list[Tree]] = {m: [] for m in range(len(blocks.models())) if only is None or m in only}
+    if not trees:
+        return {}
+    joints = _joints(blocks)
+    chunks = [_chunks(blocks, joints, role, set(trees)) for role in (TRAIN, VALID)]
+    spent: list[RDD] = []
+    try:
+        return _grown(blocks, joints, settings, trees, chunks, spent)
+    finally:
+        for rdd in (*spent, *chunks):
+            rdd.unpersist()
+
+
+def _grown(blocks: Blocks, joints: list[Joint], settings: Settings, trees: dict[int, list[Tree]], chunks: list[RDD], spent: list[RDD]) -> dict[int, list[Tree]]:
+    """``trees``, grown; ``chunks`` (training and validation) and those ``spent`` are kept up to date."""
     pending: dict[int, list[Tree]] = {m: [] for m in trees}
     best: dict[int, tuple[float, int]] = {}
     rng = np.random.default_rng(settings.seed)
@@ -456,9 +621,11 @@ def boost(blocks: Blocks, settings: Settings, only: set[int] | None = None) -> d
         grown = {m: Tree.empty(settings.depth) for m in pending}
         seen = {m: np.sort(rng.permutation(k)[: max(1, round(settings.columns * k))]) for m in pending for k in [len(blocks.columns(m))]}
         open_ = {} if last else {m: [0] for m in pending}
+        parents: dict[tuple[int, int], np.ndarray] = {}
         for level in range(1 if last else settings.depth):
             following: dict[int, list[int]] = {}
-            for r in _level(blocks, rows, grown, pending, open_, seen, level, settings, losses=level == 0):
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for r in _level(blocks, joints, chunks[0], None if level else chunks[1], grown, pending, open_, parents, seen, level, settings):
                 m, node = r["model"], r["node"]
                 if node < 0:
                     loss = r["whole"][0] / max(r["whole"][1], 1)
@@ -468,12 +635,17 @@ def boost(blocks: Blocks, settings: Settings, only: set[int] | None = None) -> d
                 tree, worth = grown[m], lambda s: -settings.rate * (s[0] / UNIT) / (s[1] / UNIT + settings.l2)
                 tree.value[node] = worth(r["whole"])
                 if r["feature"] >= 0:
-                    tree.feature[node], tree.gain[node] = r["feature"], r["gain"]
-                    tree.left[node] = np.frombuffer(r["goes_left"], np.uint8)
-                    tree.value[2 * node + 1] = worth(r["side"])
-                    tree.value[2 * node + 2] = worth([w - s for w, s in zip(r["whole"], r["side"], strict=True)])
-                    following.setdefault(m, []).extend((2 * node + 1, 2 * node + 2))
-            open_ = {m: sorted(nodes) for m, nodes in following.items()}
+                    tree.feature[node], tree.gain[node], tree.left[node] = r["feature"], r["gain"], r["left"]
+                    left, right = r["side"], r["whole"] - r["side"]
+                    tree.value[2 * node + 1], tree.value[2 * node + 2] = worth(left), worth(right)
+                    if r["sums"] is not None and min(left[1], right[1]) > 0:  # rows of the lesser side are added up; the other has what they leave
+                        held[m, node] = r["sums"]
+                        following.setdefault(m, []).append(2 * node + (1 if left[1] <= right[1] else 2))
+                    else:
+                        following.setdefault(m, []).extend((2 * node + 1, 2 * node + 2))
+            open_, parents = {m: sorted(nodes) for m, nodes in following.items()}, held
+            while spent:  # the chunks made of these stand now
+                spent.pop().unpersist()
             if not open_:
                 break
         if last:
@@ -487,31 +659,12 @@ def boost(blocks: Blocks, settings: Settings, only: set[int] | None = None) -> d
         if not pending:
             break
         if (n + 1) % settings.stored_every == 0 and n + 1 < settings.trees:
-            rows = _stored(rows, pending, blocks.per_fold)
+            spent += chunks
+            chunks[:] = [_stored(part, joints, pending, blocks.per_fold) for part in chunks]
             pending = {m: [] for m in pending}
     return {m: found[: best[m][1]] if m in best else found for m, found in trees.items()}
 
 
-def _stored(rows: DataFrame, pending: dict[int, list[Tree]], per_fold: int) -> DataFrame:
-    """The blocks of training and validation rows with the margins after the trees in ``pending``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks = {m: [Walk(tree) for tree in found] for m, found in pending.items()}
-        for batch in batches:
-            row, margins = {c: batch.column(c) for c in ("n", "x", "y", "margin")}, []
-            for i in range(batch.num_rows):
-                x, _, margin = _block(row, i, per_fold)
-                fold = batch.column("fold")[i].as_py()
-                for k in range(per_fold):
-                    for walk in walks.get(fold * per_fold + k, []):
-                        margin[k] += walk.values(x)
-                margins.append(margin.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("fold", "role", "n", "x", "y")], pa.array(margins, pa.binary())], names=["fold", "role", "n", "x", "y", "margin"])
-
-    kept = rows.where(F.col("role") != TEST).select("fold", "role", "n", "x", "y", "margin")
-    return materialised(kept.mapInArrow(run, "fold int, role int, n int, x binary, y binary, margin binary"), "margins")
-
-
 def scores(blocks: Blocks, trees: dict[int, list[Tree]], role: int = TEST) -> DataFrame:
     """``fold, target, horizon, id, y, p`` of each row of ``role`` and model in ``trees``."""
     per_fold, n_lists, named = blocks.per_fold, len(blocks.lists), blocks.models()

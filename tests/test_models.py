@@ -206,6 +206,51 @@ def test_sums_hold_the_bins_of_training_rows_only(spark, rows):
     assert boost.whole_bins(sums, np.array([2, 3]), 4).tolist() == [[[0, 1, 0, 0], [5, 6, 0, 0]], [[2, 3, 4, 0], [7, 8, 9, 0]]]
 
 
+@pytest.mark.parametrize("held", [64 << 20, 0])
+def test_rows_of_one_of_two_siblings_are_added_up(spark, rows, monkeypatch, held):
+    """The other one's sums are what they leave of the parent's; with no room for these both are added up, to the same trees."""
+    settings = boost.Settings(trees=2, depth=3, least_weight=5.0)
+    blocks = boost.binned(rows, Q.all_folds(rows), ["y", "z"], {"a": ["kind", "x", "noise"]}, ["kind"], settings)
+    whole = boost.boost(blocks, settings)
+    passes, level = [], boost._level
+
+    def seen(*args):
+        found = level(*args)
+        passes.append((args[6], {(r["model"], r["node"]) for r in found if r["node"] >= 0}))
+        return found
+
+    monkeypatch.setattr(boost, "_level", seen)
+    monkeypatch.setattr(boost, "HELD_BYTES", held)
+    again = boost.boost(blocks, settings)
+    assert all(np.array_equal(getattr(a, c), getattr(b, c)) for m in whole for a, b in zip(whole[m], again[m], strict=True) for c in ("feature", "left", "value", "gain"))
+    added = [({(m, node) for m, nodes in open_.items() for node in nodes}, found) for open_, found in passes if any(node for nodes in open_.values() for node in nodes)]
+    assert added and all(open_ <= found for open_, found in added)
+    assert all(len(found) == (2 * len(open_) if held else len(open_)) for open_, found in added)
+
+
+def test_bundles_and_packed_sums_are_those_of_every_row_by_itself():
+    rng = np.random.default_rng(2)
+    widths, category = np.array([65, 3, 4, 5, 7, 256, 3]), np.array([False, False, True, True, False, True, False])
+    joint = boost.Joint(widths, category, 256, [0, 0, 0, 0, 0, 0, 1])
+    assert sorted(f for b in joint.bundles for f in b) == list(range(7)) and len(joint.bundles) < 5 and [6] in joint.bundles
+    assert all(joint.size(b) <= 256 for b in joint.bundles)
+    x = np.stack([rng.integers(0, w, 20_000) for w in widths]).astype(np.uint8)
+    columns, slot = np.array([0, 2, 3, 5]), rng.integers(0, 2, 20_000)
+    g, h = np.where(rng.random(20_000) < 0.9, boost.UNIT, -boost.UNIT), np.full(20_000, boost.UNIT / 4)  # the greatest there are
+    sums = boost.Sums(2, joint, columns)
+    for rows in np.array_split(rng.permutation(20_000), 3):
+        sums.add(joint.cells(x), rows, slot[rows], g[rows], h[rows])
+    want = [[np.concatenate([np.bincount(x[f][slot == k], w[slot == k], widths[f]) for f in columns]) for w in (g, h)] for k in (0, 1)]
+    assert np.array_equal(sums.done(), np.array(want))
+    # a tree over cells is the tree over bins, also for categories that no training row has
+    tree = boost.Tree.empty(4)
+    for node in (0, 1, 2, 4, 5, 9, 11):
+        tree.feature[node], tree.left[node] = rng.integers(0, 7), rng.integers(0, 256, 32)
+    tree.value[:] = rng.normal(size=len(tree.value))
+    x[2:4] = np.where(rng.random((2, 20_000)) < 0.1, 255, x[2:4])
+    assert np.array_equal(boost.Walk(joint.tree(tree)).values(joint.cells(x)), tree.values(x))
+
+
 def test_the_queries_run_all_folds_targets_and_columns(spark):
     got = Q.gbt_rolling(spark, SF).collect()
     years = sorted({r["fold"] for r in got})
