@@ -251,6 +251,30 @@ def test_bundles_and_packed_sums_are_those_of_every_row_by_itself():
     assert np.array_equal(boost.Walk(joint.tree(tree)).values(joint.cells(x)), tree.values(x))
 
 
+@pytest.mark.parametrize("columns", [["kind", "x", "noise", "many"], ["x", "noise"], ["kind", "many"]])
+def test_rows_are_binned_out_of_three_arrays(spark, rows, monkeypatch, columns):
+    """Spark hands on an array of each kind and not a column for each feature; values are counted in the years of training alone."""
+    table = rows.withColumns({"many": F.when(F.col("leg_id") % 7 > 0, F.col("leg_id") % 9).cast("string"), "noise": F.when(F.col("noise") > 0.1, F.col("noise")).otherwise(float("nan"))})
+    seen, borders = [], boost._borders
+    monkeypatch.setattr(boost, "_borders", lambda typed, *args: seen.append(typed) or borders(typed, *args))
+    folds = Q.all_folds(table)[:2]
+    blocks = boost.binned(table, folds, ["y", "z"], {"a": columns}, ["kind", "many"], boost.Settings(bins=8))
+    assert set(seen[0].columns) == {"_id", "_h", "year", "_v", "_s", "_y"}
+    assert {r["year"] for r in boost._trained(seen[0], folds).select("year").distinct().collect()} == {1995, 1996}
+    made = {r["leg_id"]: r for r in table.collect()}
+    ranks = [{c: {v: k + 1 for k, v in enumerate(sorted({r[c] for r in made.values() if r[c]}, key=lambda v: (-sum(r[c] == v for r in made.values() if r["year"] in f.train), v)))} for c in ("kind", "many")} for f in folds]
+    for b in blocks.rows.collect():
+        x, y = (np.frombuffer(b[c], np.uint8).reshape(-1, b["n"]) for c in ("x", "y"))
+        for i, r in enumerate(made[leg] for leg in b["ids"]):
+            for j, c in enumerate(columns):
+                if c in ("kind", "many"):
+                    want = ranks[b["fold"]][c][r[c]] if r[c] else 0
+                else:
+                    want = 0 if r[c] is None or np.isnan(r[c]) else 1 + int(np.searchsorted(blocks.borders[b["fold"]][c], r[c]))
+                assert x[j, i] == want
+            assert (y[0, i], y[1, i]) == (r["y"], 255 if r["z"] is None else r["z"])
+
+
 def test_the_queries_run_all_folds_targets_and_columns(spark):
     got = Q.gbt_rolling(spark, SF).collect()
     years = sorted({r["fold"] for r in got})
